@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import sharding, url_filter
+from lodeweave.llm import language_id, packing, sharding, url_filter
 from lodeweave.llm.common import read_table
 
 RULES = [
@@ -14,6 +15,8 @@ RULES = [
     url_filter.Rule("example.com/de/", "block"),
     url_filter.Rule("org/fr/", "allow"),
 ]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"  # rows that nothing is learnt from
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(24)], 4099
 
 
@@ -27,9 +30,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", SHARDS, SLOTS)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
+    model = language_id.fit(docs.where(f"not coalesce({HELD_OUT}, true)"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, TOKENIZER)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op8_packing": op8_packing,
 }
 
 
