@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import language_id, packing, sharding, url_filter
+from lodeweave.llm import decontaminate, language_id, packing, sharding, toxicity, url_filter
 from lodeweave.llm.common import read_table
 
 RULES = [
@@ -25,6 +25,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, "url", RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(f"not coalesce({HELD_OUT}, true)"))
+    out = toxicity.score(docs.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "text"), weights)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign(docs, "doc_id", SHARDS, SLOTS)
@@ -43,6 +54,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op8_packing": op8_packing,
