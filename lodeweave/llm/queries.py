@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontaminate, language_id, packing, sharding, toxicity, url_filter
+from lodeweave.llm import decontaminate, language_id, packing, sharding, toxicity, url_filter, warc
 from lodeweave.llm.common import read_table
 
 RULES = [
@@ -47,6 +47,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, TOKENIZER)
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
 }
 
@@ -65,6 +71,15 @@ QUERIES = {
 def oracle_sql() -> dict[str, str]:
     table = ",".join(map(str, sharding.fill_table(SHARDS, SLOTS)))
     slot = f"(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::BIGINT % {SLOTS})"
+    digest = " || ".join(
+        f"substr('{warc.BASE32}', ((('0x' || substr(h, {5 * g + 1}, 5))::INTEGER >> {15 - 5 * i}) & 31) + 1, 1)" for g in range(8) for i in range(4)
+    )
     return {
         "op4_sharding": f"SELECT doc_id, {slot}::INTEGER AS slot, ([{table}])[{slot} + 1]::INTEGER AS shard FROM documents",
+        "op7_warc": f"""
+            WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+            e AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM d)
+            SELECT page_id, payload_bytes, {digest} AS payload_digest,
+                   CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN first < page_id THEN first END AS refers_to FROM e""",
     }
