@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontaminate, language_id, packing, sharding, toxicity, url_filter, warc
+from lodeweave.llm import decontaminate, language_id, packing, sharding, topk, toxicity, url_filter, warc
 from lodeweave.llm.common import read_table
 
 RULES = [
@@ -57,6 +57,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20, scale=64)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_maxscore": op9_maxscore,
 }
 
 
@@ -82,4 +88,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, payload_bytes, {digest} AS payload_digest,
                    CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN first < page_id THEN first END AS refers_to FROM e""",
+        "op9_maxscore": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                       WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS query_id, b.vec_id,
+                         coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+                  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     }
