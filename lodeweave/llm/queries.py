@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontaminate, language_id, packing, sharding, topk, toxicity, url_filter, warc
-from lodeweave.llm.common import read_table
+from lodeweave.llm import decontaminate, language_id, near_dup, packing, sharding, topk, toxicity, url_filter, warc
+from lodeweave.llm.common import read_table, with_row_id
 
 RULES = [
     url_filter.Rule("net/", "block"),
@@ -62,6 +62,11 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20, scale=64)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_row_id(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dup.find(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_maxscore": op9_maxscore,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 
