@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontaminate, language_id, near_dup, packing, sharding, topk, toxicity, url_filter, warc
+from lodeweave.llm import decontaminate, language_id, near_dup, packing, sharding, suffix_dedup, topk, toxicity, url_filter, warc
 from lodeweave.llm.common import read_table, with_row_id
 
 RULES = [
@@ -47,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_maxscore": op9_maxscore,
