@@ -1,15 +1,65 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline: language ID, near-dedup, substring dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. The first four return the columns of documents; the last returns a row per
+packed piece. run() writes each stage's result as Parquet in the shared folder
+and reads it back for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeweave.llm import decontaminate, language_id, near_dup, packing, suffix_dedup
+from lodeweave.llm.common import read_table, stash
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language can be told; those without a letter (`und`) go.
+
+    Trained on docs' own text and non-null lang. lang is filled in where it is null."""
+    model = language_id.fit(docs)
+    out = language_id.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates (shingles of five words, similarity 0.8)."""
+    return near_dup.keep_one(docs, shingle=5, percent=80).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 400 bytes or more that occur again; n_chars follows. Emptied documents stay, as ''."""
+    return suffix_dedup.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark items."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and offset."""
+    return packing.pack(docs, TOKENIZER)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", pack),
+]
+ORACLE_SQL = None  # kernels, sketches and tokenizers have no SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
