@@ -145,6 +145,12 @@ def clean_social(text: Column, stopwords: list[str]) -> Column:
 
 def char_shingles(text: Column, size: int = 5) -> Column:
     """Distinct character n-grams of the compare form; a shorter text is its own only one."""
-    t = compare_form(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - size + 1), lambda i: F.substring(t, i, F.lit(size)))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(F.array_distinct(grams))
+    n = F.lit(size)
+
+    def grams(form: Column) -> Column:
+        split = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - size + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        whole = F.get(F.transform(F.array(F.split(form, "")), split), F.lit(0))
+        return F.when(form == "", F.array().cast("array<string>")).when(F.length(form) <= size, F.array(form)).otherwise(F.array_distinct(whole))
+
+    # arrays of one bind the form and its characters once, not once a gram
+    return F.get(F.transform(F.array(compare_form(text)), grams), F.lit(0))
