@@ -11,9 +11,9 @@ propose candidates: two sets of similarity s meet in no band with probability
 No group is expanded into pairs. In each bucket every member is first compared
 with one centre. Verified links merge components, and only buckets whose members
 are still in different components go on: buckets of at most SMALL members (a
-constant) compare those of different components; larger ones take further
-centres, round by round, each finished after its round. So every two members of
-a bucket end connected or compared. A comparison is first estimated from the
+constant) compare those of different components; larger ones take up to CENTERS
+more centres a round, from their smallest components, each finished after its
+round. So every two members of a bucket end connected or compared. A comparison is first estimated from the
 registers by maximum likelihood, given both sizes, and dropped only beyond six
 standard errors; the rest is confirmed on the full sets.
 """
@@ -37,6 +37,7 @@ BANDS, ROWS = 39, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 32
+CENTERS = 64
 WORDS_CACHED = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.Generator(np.random.PCG64(20240607))
@@ -178,13 +179,14 @@ class NearDuplicates:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Verified links among pairs (u, v, nu, nv), each pair compared once only over all calls."""
+        # sizes first: what a link needs is cheap to see
         pairs = pairs.where(self._similar_size("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct()
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
         s = self.sketches
         pairs = pairs.join(s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v")
         likely = stash(_estimated(pairs, self.least), "likely")
-        self.compared = likely if self.compared is None else self.compared.union(likely)
+        self.compared = likely if self.compared is None else stash(self.compared.union(likely), "compared")
         t = self.texts
         pairs = likely.join(t.select(F.col("__rid").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("__rid").alias("v"), F.col("t").alias("tv")), "v")
         return stash(_linked(pairs, self.percent, self.shingle), "verified")
@@ -199,19 +201,24 @@ class NearDuplicates:
         while True:
             nth += 1
             named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-            split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(nth)).alias("h"), "rep", "n", "comp")).alias("c")).where("lo <> hi").drop("lo", "hi")
-            rows = stash(named.join(split, "key"), "open-buckets")
+            open_keys = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
+            rows = stash(named.join(open_keys, "key"), "open-buckets")
             if rows.isEmpty():
                 return labels
             small = rows.where(f"size <= {SMALL}").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "comp")).alias("m"))  # SMALL members at most
             within = small.select(F.explode(F.expr("flatten(transform(m, a -> transform(filter(m, b -> a.rep < b.rep and a.comp <> b.comp), b -> struct(a.rep as u, b.rep as v, a.n as nu, b.n as nv))))")).alias("p")).select("p.*")
             large = rows.where(f"size > {SMALL}")
-            star = large.where("comp <> c.comp").select(F.col("rep").alias("u"), F.col("c.rep").alias("v"), F.col("n").alias("nu"), F.col("c.n").alias("nv"))
+            # a member of a bucket's smallest component in each of CENTERS slots is a centre of this round
+            shares = large.groupBy("key", "comp").agg(F.count("*").alias("share"))
+            h = F.xxhash64("rep", F.lit(nth))
+            slots = large.join(shares, ["key", "comp"]).groupBy("key", F.pmod(h, F.lit(CENTERS)).alias("slot")).agg(F.min(F.struct("share", h.alias("h"), "rep", "n", "comp")).alias("c"))
+            slots = stash(slots.select("key", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp")), "centers")
+            star = large.join(slots, "key").where(F.col("comp") != F.col("c_comp")).select(F.col("rep").alias("u"), F.col("c_rep").alias("v"), F.col("n").alias("nu"), F.col("c_n").alias("nv"))
             more = self.links(within.union(star))
             if not more.isEmpty():
-                verified = verified.union(more)
+                verified = stash(verified.union(more), "links-so-far")
                 labels = components(verified)
-            rows = large.where("rep <> c.rep").select("key", "rep", "n")
+            rows = large.select("key", "rep", "n").join(slots.select("key", F.col("c_rep").alias("rep")), ["key", "rep"], "left_anti")
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
