@@ -132,6 +132,8 @@ def _mentions(text: Column, numbers: Column) -> Column:
 
 def boost(candidates: DataFrame, limit: int = 0, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """rank_score, pinned, boosts map and rank from fused_score; candidates carry chunk and query columns."""
+    if "heading_only" not in candidates.columns:
+        candidates = candidates.withColumn("heading_only", F.lit(False))
     section, lowered = F.trim(F.coalesce("section", F.lit(""))), F.lower("text")
     in_section, in_text = _mentions(section, F.col("numbers")), _mentions(lowered, F.col("numbers"))
     phrases = F.size(F.filter("phrases", lambda p: (p != "") & F.contains(lowered, p)))
@@ -234,8 +236,6 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, stats: DataFrame, queries
     fused = fuse(near, words, fusion)
     q = queries.select("query_id", "tenant_id", "terms", "phrases", "numbers")
     wide = fused.join(q, "query_id").join(chunks, ["tenant_id", "chunk_id"])  # the join by tenant is the second guard of isolation
-    if "heading_only" not in wide.columns:
-        wide = wide.withColumn("heading_only", F.lit(False))
     boosted = boost(wide, pool)
     kept = collapse(boosted).select("query_id", "chunk_id", "duplicates")
     return score_floor(rerank(boosted.join(kept, ["query_id", "chunk_id"]), k), floor)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.plans import tabular, text  # noqa: F401
+from lodeweave.plans import retrieval, tabular, text  # noqa: F401
 from lodeweave.plans.registry import QUERIES, SQL  # noqa: F401
 
-FLAGSHIP = "group_mean_topk"
+FLAGSHIP = "bm25_topk"

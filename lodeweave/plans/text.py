@@ -174,8 +174,8 @@ def shingle_counts(spark, d):
     return x.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("grams"))
 
 
-@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS full FROM documents)
-          SELECT doc_id, greatest(0, n - full)::BIGINT AS removed FROM l""")
+@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents)
+          SELECT doc_id, greatest(0, n - filled)::BIGINT AS removed FROM l""")
 def removed_lines(spark, d):
     lines = F.split("text", "\n")
     return table(spark, d, "documents").select("doc_id", F.greatest(F.lit(0), F.size(lines) - F.size(F.filter(lines, lambda x: F.trim(x) != ""))).cast("long").alias("removed"))
