@@ -43,10 +43,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What it was computed from isn't needed again, so the driver is asked to collect
+    its garbage, upon which Spark removes the shuffle files of finished steps."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what stash() wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stashed)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:

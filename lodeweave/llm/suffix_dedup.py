@@ -4,38 +4,39 @@ Every byte covered by a ``length``-byte string that starts at two or more places
 goes. Sorting all suffixes would write many times the corpus; a sparse suffix
 array needs only suffixes at anchors, and finds the same bytes:
 
-1. Tokens are GRAM-byte fingerprints. In each window of ``length`` bytes the
-   positions with the least token are anchors. Equal windows have equal anchors,
-   so a repeated window is found by comparing what surrounds anchors with equal
-   leading tokens. An anchor's surroundings reach length - GRAM bytes to the left
-   and length bytes to the right, cut at the text's ends.
-2. Anchors whose leading token occurs once drop out. Anchors with equal
-   surroundings are counted before any text moves; of a class only one
-   representative's bytes travel.
-3. Suffixes of representatives are range-partitioned by their leading token with
-   sampled splitters and sorted; as equal tokens never straddle a splitter, a
-   bucket's groups are whole. A bucket sorts the windows around its anchors by
-   further tokens, one token column at a time among ties (multikey quicksort's
-   order on fingerprints), and neighbours that tie throughout are repeated.
-4. A leading token with more than ``hot`` different surroundings would make one
-   bucket grow. Its windows become rows of their own, keyed by their fingerprint
-   and counted with partial sums, which meets any skew.
-5. Each anchor's repeated windows become byte intervals, gathered per document.
+1. A token is the fingerprint of length / 6 bytes. The anchor of a window is its
+   place with the least token (the last of equals); it serves the run of
+   neighbouring windows whose least token it is. Equal windows have equal anchors
+   at equal offsets, so repeats are found among runs with equal leading tokens.
+2. Anchors whose leading token occurs once drop out. Runs with equal bytes are
+   counted before any text moves: they are repeated whole, and only one
+   representative of a class travels, and only to meet different runs.
+3. Representatives are range-partitioned by their leading token with sampled
+   splitters and sorted. Equal tokens never straddle a splitter, so groups are
+   whole and no comparison across buckets is left over. A bucket sorts the windows
+   by further tokens, one token column at a time among ties (multikey quicksort's
+   order, on fingerprints); neighbours that tie throughout are repeated.
+4. A leading token with more than ``hot`` different runs would make one bucket
+   grow. Its runs are cut into parts by offset; parts that share all bytes, or
+   whose common core occurs once, are settled by counting, and only the windows of
+   the other parts become rows, counted by fingerprint: partial sums meet any skew.
+5. Repeated windows become byte intervals, gathered per document.
 
 Fingerprints have 64 bits (128 where rows are counted by key), over bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import stash, with_row_id
+from lodeweave.llm.common import discard, stash, with_row_id
 
 LENGTH = 400
 HOT = 2048
@@ -77,48 +78,57 @@ def span(sums: np.ndarray, powers: Powers, start: np.ndarray, end: np.ndarray) -
     return mixed((sums[end] - sums[start]) * powers.down[start])
 
 
-def _running(values: np.ndarray, w: int, best) -> np.ndarray:
-    """best over every w neighbours, by doubling."""
+def _least(values: np.ndarray, w: int) -> np.ndarray:
+    """Least of every w neighbours, by doubling."""
     k = 1
     while k * 2 <= w:
-        values = best(values[:-k], values[k:])
+        values = np.minimum(values[:-k], values[k:])
         k *= 2
-    return best(values[: len(values) - (w - k)], values[w - k :]) if k < w else values
+    return np.minimum(values[: len(values) - (w - k)], values[w - k :]) if k < w else values
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int, powers: Powers):
-    """(position, leading token, surroundings' fingerprint, start and end of its text) of the anchors in texts laid end to end."""
+    """(start, left, windows, token, around) of the anchors in texts laid end to end.
+
+    An anchor serves a run of neighbouring windows: those whose least token
+    (the last one, where several are least) it is. start: place of the first window;
+    left: how far before the anchor it starts; around: fingerprint of the run's bytes."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     sums = prefix(data, powers)
     token = mixed((sums[gram:] - sums[:-gram]) * powers.down[: n - gram + 1])
-    order = (token >> SHIFT).astype(np.uint32) | np.uint32(1)
-    w = length - gram + 1
-    least = _running(order, w, np.minimum)  # of the window that starts here
-    starts = np.concatenate([[0], ends[:-1]])
+    low = np.uint64(0xFFFFFFFF)
+    order = (token & ~low) | (low - np.arange(len(token), dtype=np.uint64))  # among equal tokens the last place is least
+    at = (low - (_least(order, length - gram + 1) & low)).astype(np.int64)
     for e in ends[:-1]:  # windows across texts don't count
-        least[max(0, e - length + 1) : e] = 0
-    padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
-    at = np.flatnonzero(order == _running(padded, w, np.maximum))
-    k = np.searchsorted(ends, at, side="right")
-    lo, hi = starts[k], ends[k]
-    left, right = np.maximum(lo, at - (length - gram)), np.minimum(hi, at + length)
-    around = span(sums, powers, left, right) ^ mixed(((at - left) * 4096 + (right - at)).astype(np.uint64))
-    return at, token[at], around, lo, hi
+        at[max(0, e - length + 1) : e] = -1
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    windows = np.diff(np.concatenate([first, [len(at)]]))
+    real = at[first] >= 0
+    first, windows = first[real], windows[real]
+    anchor = at[first]
+    left = anchor - first
+    around = span(sums, powers, first, first + windows + length - 1) ^ mixed((left * 1_048_576 + windows).astype(np.uint64))
+    return first, left, windows, token[anchor], around
+
+
+PLACES = "rid long, start int, left int, windows int, token long, around long"
 
 
 def anchor_rows(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """(rid, pos, token, around) of every anchor."""
+    """PLACES of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
 
         def flush(rids, parts):
             ends = np.cumsum([len(p) for p in parts])
-            at, token, around, lo, _ = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, gram, powers)
-            rid = np.asarray(rids, np.int64)[np.searchsorted(ends, at, side="right")]
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array((at - lo).astype(np.int32)), pa.array(token.view(np.int64)), pa.array(around.view(np.int64))], names=["rid", "pos", "token", "around"])
+            start, left, windows, token, around = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, gram, powers)
+            k = np.searchsorted(ends, start, side="right")
+            start = start - np.concatenate([[0], ends[:-1]])[k]
+            columns = [np.asarray(rids, np.int64)[k], start.astype(np.int32), left.astype(np.int32), windows.astype(np.int32), token.view(np.int64), around.view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PLACES.split(", ")])
 
         for b in batches:
             rids, parts, size = [], [], 0
@@ -134,12 +144,7 @@ def anchor_rows(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame
             if parts:
                 yield flush(rids, parts)
 
-    return docs.select("__rid", F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "rid long, pos int, token long, around long")
-
-
-def _offsets(left: int, right: int, length: int) -> tuple[int, int]:
-    """An anchor's windows start o bytes before it, for o from lo up to (not with) hi."""
-    return max(0, length - right), left + 1
+    return docs.select("__rid", F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, PLACES)
 
 
 def _sets(good: np.ndarray, lo: int) -> tuple[list[int], list[int]]:
@@ -148,43 +153,32 @@ def _sets(good: np.ndarray, lo: int) -> tuple[list[int], list[int]]:
     return (np.flatnonzero(edge == 1) + lo).tolist(), (np.flatnonzero(edge == -1) - 1 + lo).tolist()
 
 
-def window_tokens(left: bytes, right: bytes, length: int, powers: Powers) -> tuple[int, np.ndarray, np.ndarray]:
-    """(lowest offset, two token columns of the windows at each offset): the first and second half of the window."""
-    lo, hi = _offsets(len(left), len(right), length)
-    if lo >= hi:
-        return lo, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    sums = prefix(np.frombuffer(left + right, np.uint8), powers)
-    start = len(left) - np.arange(lo, hi)
+def window_tokens(text: bytes, windows: int, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Two token columns of a run's windows: their first and second half."""
+    sums = prefix(np.frombuffer(text, np.uint8), powers)
+    start = np.arange(windows)
     half = start + length // 2
-    return lo, span(sums, powers, start, half), span(sums, powers, half, start + length)
+    return span(sums, powers, start, half), span(sums, powers, half, start + length)
 
 
-def repeated_in_bucket(groups: list[tuple[int, bytes, bytes, bool]], length: int, powers: Powers) -> list[tuple[list[int], list[int]]]:
-    """For (leading token, left, right, known) rows: the offsets whose window another row of the same token has too.
-
-    known: the row stands for several places, so all its windows are repeated."""
-    lows, firsts, seconds, sizes = [], [], [], []
-    keys = []
-    for token, left, right, _ in groups:
-        lo, a, b = window_tokens(left, right, length, powers)
-        lows.append(lo)
-        sizes.append(len(a))
-        firsts.append(a)
+def repeated_in_bucket(rows: list[tuple[int, int, int, int, bytes]], length: int, powers: Powers) -> list[tuple[list[int], list[int]]]:
+    """For (leading token, left, windows, places, text) rows: which windows another row of the token has at the same offset."""
+    firsts, seconds = [], []
+    for token, left, windows, _, text in rows:
+        a, b = window_tokens(text, windows, length, powers)
+        offset = (left - np.arange(windows)).astype(np.uint64)
+        firsts.append(a ^ mixed(np.uint64(token & 0xFFFFFFFFFFFFFFFF) + offset * MIX1))  # token column 0: leading token, offset, first half
         seconds.append(b)
-        keys.append(mixed(np.uint64(token & 0xFFFFFFFFFFFFFFFF) + np.arange(lo, lo + len(a), dtype=np.uint64) * MIX1))
-    first = np.concatenate(firsts) ^ np.concatenate(keys)  # token column 0: leading token, offset and first half
-    second = np.concatenate(seconds)
+    first, second = np.concatenate(firsts), np.concatenate(seconds)
     good = np.zeros(len(first), dtype=bool)
-    order = np.argsort(first, kind="stable")
-    tie = np.flatnonzero(_tied(first[order]))
-    order = order[tie]  # only ties go on to the next token
+    order = np.argsort(first)
+    order = order[_tied(first[order])]  # only ties go on to the next token
     order = order[np.lexsort((second[order], first[order]))]
-    same = _tied(second[order], first[order])
-    good[order[same]] = True
+    good[order[_tied(second[order], first[order])]] = True
     out, at = [], 0
-    for (_, _, _, known), lo, size in zip(groups, lows, sizes, strict=True):
-        out.append(_sets(np.ones(size, bool) if known else good[at : at + size], lo))
-        at += size
+    for _, _, windows, _, _ in rows:
+        out.append(_sets(good[at : at + windows], 0))
+        at += windows
     return out
 
 
@@ -208,104 +202,164 @@ def _found(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(around, pa.int64()), pa.array(first, kind), pa.array(last, kind)], names=["token", "around", "first", "last"])
 
 
+AROUND = "token long, around long, left int, windows int, n long, many long, text binary"
+AROUND_NAMES = [x.split()[0] for x in AROUND.split(", ")]
+BUCKET_ROWS = 2048
+
+
+def _surroundings(length: int):
+    """Arrow function over rows (packed text, [places]): AROUND rows, the bytes of each place's run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        unpack = zstandard.ZstdDecompressor()
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=AROUND_NAMES)
+
+        for b in batches:
+            out = []
+            for z, places in zip(b.column(0), b.column(1), strict=True):
+                data = unpack.decompress(z.as_py())
+                for p in places.as_py():
+                    at, w = p["start"], p["windows"]
+                    out.append((p["token"], p["around"], p["left"], w, p["n"], p["many"], data[at : at + w + length - 1]))
+                    if len(out) >= 4096:
+                        yield made(out)
+                        out = []
+            if out:
+                yield made(out)
+
+    return run
+
+
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __z, the text's compressed bytes, for text: shuffles move less."""
+    names = [c for c in docs.columns if c != text]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = [pack.compress(t.as_buffer().to_pybytes()) if t.is_valid else None for t in b.column(b.schema.names.index("__bytes"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in names), pa.array(z, pa.binary())], names=[*names, "__z"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("binary").alias("__bytes"))
+    return rows.mapInArrow(run, f"{fields}, __z binary")
+
+
 def _bucket(length: int):
-    """Arrow function over rows (token, around, n, left, right) sorted by token: FOUND rows."""
+    """Arrow function over AROUND rows sorted by token: FOUND rows of those that stand for one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held = Powers(), []
 
         def flush(rows):
-            sets = repeated_in_bucket([(t, left, right, n > 1) for t, _, n, left, right in rows], length, powers)
-            return _found([(r[0], r[1], *s) for r, s in zip(rows, sets, strict=True)])
+            sets = repeated_in_bucket([(t, left, w, n, text) for t, _, left, w, n, text in rows], length, powers)
+            found = [(r[0], r[1], *s) for r, s in zip(rows, sets, strict=True) if r[4] == 1 and s[0]]
+            return [_found(found)] if found else []
 
         for b in batches:
-            held += zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
-            while len(held) > 4096:  # whole groups only
-                cut = next((i for i in range(4096, len(held)) if held[i][0] != held[i - 1][0]), None)
+            held += zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "left", "windows", "n", "text")), strict=True)
+            while len(held) > BUCKET_ROWS:  # whole groups only; a group has at most `hot` rows
+                cut = next((i for i in range(BUCKET_ROWS, len(held)) if held[i][0] != held[i - 1][0]), None)
                 if cut is None:
                     break
-                yield flush(held[:cut])
+                yield from flush(held[:cut])
                 held = held[cut:]
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
-def _window_rows(length: int):
-    """Arrow function over rows (token, around, n, left, right): one row per window of a hot token."""
+PARTS = "token long, around long, part int, lo int, hi int, core long, whole long"
+
+
+def _parts(length: int, width: int):
+    """Arrow function over AROUND rows: PARTS rows, a run's windows by offset in groups of width.
+
+    core: fingerprint of the bytes that all windows of the part share; whole: of all bytes of those that the run has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            for token, around, left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                lo, x, y = window_tokens(left, right, length, powers)
-                n = len(x)
-                if n:
-                    o = np.arange(lo, lo + n, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, token)), pa.array(np.full(n, around)), pa.array(o), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["token", "around", "o", "x", "y"])
+            out = []
+            for token, around, left, w, text in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "left", "windows", "text")), strict=True):
+                sums = prefix(np.frombuffer(text, np.uint8), powers)
+                part = np.arange((left - w + 1) // width, left // width + 1)
+                lo = np.maximum(0, left - (part * width + width - 1))  # windows count from the run's start, offsets down from left
+                hi = np.minimum(w - 1, left - part * width)
+                core_lo, core_hi = left - part * width, left - (part * width + width - 1) + length
+                core = span(sums, powers, core_lo, core_hi)
+                whole = span(sums, powers, lo, hi + length) ^ mixed(((left - lo) * 1_048_576 + hi - lo).astype(np.uint64))
+                out.append((np.full(len(part), token), np.full(len(part), around), part, lo, hi, core.view(np.int64), whole.view(np.int64)))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
     return run
 
 
-def _surroundings(length: int, gram: int):
-    """Arrow function over rows (text, [(pos, token, around, n)]): the bytes around each position."""
+WINDOWS = "token long, around long, i int, o int, x long, y long"
+
+
+def _window_rows(length: int):
+    """Arrow function over AROUND rows with parts (array of structs lo, hi): a WINDOWS row per window of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
-            out, size = [], 0
-            for t, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                data = t.as_buffer().to_pybytes()
-                for p in places:
-                    at = p["pos"]
-                    out.append((p["token"], p["around"], p["n"], data[max(0, at - (length - gram)) : at], data[at : at + length], p["many"]))
-                    size += 2 * length
-                    if size > 1 << 22:
-                        yield _around_batch(out)
-                        out, size = [], 0
-            if out:
-                yield _around_batch(out)
+            for token, around, left, w, text, parts in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "left", "windows", "text", "parts")), strict=True):
+                x, y = window_tokens(text, w, length, powers)
+                i = np.unique(np.concatenate([np.arange(p["lo"], p["hi"] + 1, dtype=np.int32) for p in parts]))
+                columns = [np.full(len(i), token), np.full(len(i), around), i, (left - i).astype(np.int32), x[i].view(np.int64), y[i].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return run
 
 
-AROUND = "token long, around long, n long, left binary, right binary, many long"
-
-
-def _around_batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    names = [x.split()[0] for x in AROUND.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _hot_found(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """FOUND rows of hot tokens: parts of runs first, windows only where a part's core is shared and its bytes are not."""
+    parts = stash(rows.mapInArrow(_parts(length, width), PARTS), "parts")
+    cores = parts.groupBy("token", "part", "core").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    wholes = parts.groupBy("token", "part", "whole").agg(F.count("*").alias("c"), F.min("around").alias("one")).where("c > 1").drop("c")
+    shared = parts.join(cores, ["token", "part", "core"], "left_semi").join(wholes, ["token", "part", "whole"], "left")
+    shared = stash(shared.select("token", "around", "lo", "hi", "one"), "shared-parts")
+    same = shared.where("one is not null").select("token", "around", F.array("lo").alias("first"), F.array("hi").alias("last"))
+    looked = shared.where("one is null or one = around").groupBy("token", "around").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # a few parts a run
+    windows = rows.join(looked, ["token", "around"]).mapInArrow(_window_rows(length), WINDOWS)
+    windows = stash(windows, "windows")
+    counted = windows.groupBy("token", "o", "x", "y").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    again = windows.join(counted, ["token", "o", "x", "y"], "left_semi").groupBy("token", "around").agg(F.array_sort(F.collect_list("i")).alias("first"))  # a run's windows at most
+    return same.union(again.select("token", "around", "first", F.col("first").alias("last")))
 
 
-def repeated(docs: DataFrame, text: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(rid, spans array<struct<lo, hi>>): byte intervals (hi excluded, unmerged) of docs' repeated strings; docs has __rid."""
+def repeated(docs: DataFrame, packed: DataFrame, text: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(__rid, spans array<struct<lo, hi>>): byte intervals (hi excluded, unmerged) of docs' repeated strings."""
     if length < 8:
         raise ValueError("the length must be at least 8 bytes")
-    gram = max(4, length // 4)
+    gram, width = max(4, length // 6), max(1, length // 20)
     places = stash(anchor_rows(docs, text, length, gram), "anchors")
-    classes = places.groupBy("token", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
-    classes = stash(classes, "anchor-classes")
-    tokens = classes.groupBy("token").agg(F.sum("n").alias("all"), F.count("*").alias("many")).where("all > 1")
-    busy = classes.join(tokens.drop("all"), "token").select("token", "around", "n", "many", F.col("at.rid").alias("__rid"), F.col("at.pos").alias("pos"))
-    lists = busy.groupBy("__rid").agg(F.collect_list(F.struct("pos", "token", "around", "n", "many")).alias("places"))  # bounded by the text
-    source = docs.select("__rid", F.col(f"`{text}`").cast("binary").alias("t")).join(lists, "__rid").select("t", "places")
-    around = stash(source.mapInArrow(_surroundings(length, gram), AROUND), "surroundings")
-    columns = ["token", "around", "n", "left", "right"]
-    usual = around.where(F.col("many") <= hot).select(*columns).repartitionByRange("token").sortWithinPartitions("token")
-    found = usual.mapInArrow(_bucket(length), FOUND)
-    windows = around.where(F.col("many") > hot).select(*columns).mapInArrow(_window_rows(length), "token long, around long, o int, x long, y long")
-    counted = windows.groupBy("token", "o", "x", "y").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    again = windows.join(counted, ["token", "o", "x", "y"], "left_semi").groupBy("token", "around").agg(F.array_sort(F.collect_list("o")).alias("first"))  # at most length offsets
-    whole = around.where((F.col("many") > hot) & (F.col("n") > 1)).select(
-        "token", "around", F.array(F.greatest(F.lit(0), length - F.octet_length("right"))).alias("first"), F.array(F.octet_length("left")).alias("last")
-    )
-    hot_found = again.select("token", "around", "first", F.col("first").alias("last")).union(whole)
-    found = stash(found.union(hot_found).where(F.size("first") > 0), "repeated-windows")
-    spans = places.join(found, ["token", "around"]).select(
-        "rid", F.explode(F.arrays_zip(F.col("first").alias("a"), F.col("last").alias("b"))).alias("s"), "pos"
-    ).select("rid", (F.col("pos") - F.col("s.b")).alias("lo"), (F.col("pos") - F.col("s.a") + length).alias("hi"))
-    return spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by the text
+    twice = places.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    busy = stash(places.join(twice, "token", "left_semi"), "busy-anchors")
+    discard(places)
+    classes = busy.groupBy("token", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "left", "windows")).alias("at"))
+    classes = stash(classes.select("token", "around", "n", "at.*"), "anchor-classes")
+    several = classes.groupBy("token").agg(F.count("*").alias("many"), F.count_if(F.col("n") == 1).alias("alone")).where("many > 1 and alone > 0").drop("alone")
+    lists = classes.join(several, "token").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("token", "around", "start", "left", "windows", "n", "many")).alias("places"))  # bounded by the text
+    around = packed.select("__rid", "__z").join(lists, "__rid").select("__z", "places").mapInArrow(_surroundings(length), AROUND)
+    around = stash(around, "surroundings")
+    usual = around.where(F.col("many") <= hot).repartitionByRange("token").sortWithinPartitions("token")
+    found = stash(usual.mapInArrow(_bucket(length), FOUND), "found")
+    hot_rows = around.where(F.col("many") > hot)
+    hot_found = stash(_hot_found(hot_rows, length, width), "hot-found")
+    discard(around)
+    whole = classes.where("n > 1").select("token", "around", F.array(F.lit(0)).alias("first"), F.array(F.col("windows") - 1).alias("last"))
+    spans = busy.join(found.union(hot_found).union(whole), ["token", "around"]).select("rid", "start", F.explode(F.arrays_zip(F.col("first").alias("a"), F.col("last").alias("b"))).alias("s"))
+    spans = spans.select(F.col("rid").alias("__rid"), (F.col("start") + F.col("s.a")).alias("lo"), (F.col("start") + F.col("s.b") + length).alias("hi"))
+    return stash(spans.groupBy("__rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")  # bounded by the text
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -327,39 +381,45 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """docs (with __rid) plus __spans (merged byte intervals removed), __kept (the remaining bytes).
+    """docs (with __rid) without text, plus __text (null where it was), __spans (merged byte intervals removed), __kept (the remaining bytes).
 
     A null text is empty; texts under length bytes lose nothing. Strings are judged
     on the input: of equal passages every copy goes, within one text too. Repeated
     rows are separate texts, so they remove each other. An empty table stays empty."""
-    found = repeated(docs, text, length, hot)
-    joined = docs.join(found.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    names = [c for c in joined.columns if c != "spans"]
+    packed = _packed(docs, text)
+    joined = packed.join(repeated(docs, packed.select("__rid", "__z"), text, length, hot), "__rid", "left")
+    names = [c for c in joined.columns if c not in ("spans", "__z")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            texts, spans = b.column(b.schema.names.index("__bytes")), b.column(b.schema.names.index("spans")).to_pylist()
             for at in range(0, b.num_rows, 64):
-                runs = [merged(s) for s in spans[at : at + 64]]
-                kept = [kept_bytes(t.as_buffer().to_pybytes() if t.is_valid else b"", r) for t, r in zip(texts[at : at + 64], runs, strict=True)]
-                columns = [b.column(b.schema.names.index(c)).slice(at, 64) for c in names]
+                part = b.slice(at, 64)
+                column = lambda c: part.column(part.schema.names.index(c))
+                texts = [None if z is None else unpack.decompress(z) for z in column("__z").to_pylist()]
+                runs = [merged(s) for s in column("spans").to_pylist()]
+                kept = [kept_bytes(t or b"", r) for t, r in zip(texts, runs, strict=True)]
                 lists = pa.array([[{"lo": lo, "hi": hi} for lo, hi in r] for r in runs], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(kept, pa.binary())], names=[*names, "__spans", "__kept"])
+                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(texts, pa.binary()).cast(pa.string()), lists, pa.array(kept, pa.binary())], names=[*names, "__text", "__spans", "__kept"])
 
-    rows = joined.withColumn("__bytes", F.col(f"`{text}`").cast("binary"))
-    return rows.mapInArrow(run, f"{fields}, __spans array<struct<lo: int, hi: int>>, __kept binary")
+    return joined.mapInArrow(run, f"{fields}, __text string, __spans array<struct<lo: int, hi: int>>, __kept binary")
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     out = dedup(with_row_id(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))), text, length, hot)
-    n = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
+    n = F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")
     return out.select(F.col(f"`{key}`"), n.alias("n_bytes"), (n - F.octet_length("__kept")).alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """docs with repeated passages cut from text; characters of which some bytes went go whole."""
     out = dedup(with_row_id(docs), text, length, hot)
-    kept = F.decode(F.expr("__kept"), "UTF-8")
-    return out.select(*[F.when(F.col(f"`{text}`").isNull(), None).when(F.size("__spans") == 0, F.col(f"`{text}`")).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+    @F.pandas_udf("string")
+    def readable(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    kept = F.when(F.col("__text").isNull(), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(readable("__kept"))
+    return out.select(*[kept.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
