@@ -67,7 +67,11 @@ def checked_width(vector: Column, width: int) -> Column:
     return F.when(F.size(vector) == width, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected vectors {width} wide, not "), F.size(vector).cast("string"))))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """NFKC form; Spark has no built-in for it."""
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return form(text)

@@ -121,7 +121,8 @@ def parse_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
 def cited_numbers(answers: DataFrame) -> DataFrame:
     """(query_id, number, inline): what an answer lists, and what its prose mentions besides."""
     listed = answers.select("query_id", F.explode("cited").alias("number"), F.lit(False).alias("inline"))
-    prose = answers.select("query_id", F.explode(F.regexp_extract_all("answer", F.lit(r"(?i)\bsources?\s*#?\s*(\d{1,3})\b"), F.lit(1))).cast("int").alias("number"), F.lit(True).alias("inline"))
+    said = F.transform(F.regexp_extract_all("answer", F.lit(r"(?i)\bsources?\s*#?\s*(\d{1,3})\b"), F.lit(1)), lambda x: x.cast("int"))
+    prose = answers.select("query_id", F.explode(said).alias("number"), F.lit(True).alias("inline"))
     return listed.union(prose).groupBy("query_id", "number").agg(F.min("inline").alias("inline"))
 
 
