@@ -10,12 +10,15 @@ propose candidates: two sets of similarity s meet in no band with probability
 
 No group is expanded into pairs. In each bucket every member is first compared
 with one centre. Verified links merge components, and only buckets whose members
-are still in different components go on: buckets of at most SMALL members (a
-constant) compare those of different components; larger ones take up to CENTERS
-more centres a round, from their smallest components, each finished after its
-round. So every two members of a bucket end connected or compared. A comparison is first estimated from the
-registers by maximum likelihood, given both sizes, and dropped only beyond six
-standard errors; the rest is confirmed on the full sets.
+are still in different components go on, in rounds: blocks of members meet a
+bucket's centres as packed registers and only likely pairs become rows. Buckets of
+at most SMALL members (a constant) settle at once, all members being centres.
+In larger ones members outside the main component first look for it, with a few
+of the likeliest of CENTERS random centres in each of SEARCHES rounds; what is
+then left takes centres from the smallest components, each finished after its
+round. So every two members of a bucket end connected or compared. A pair is
+dropped only beyond six standard errors of the registers' maximum-likelihood
+estimate, given both sizes; the rest is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 32
 CENTERS = 64
+BLOCK = 256
+SEARCHES, NEAREST = 3, 3
 WORDS_CACHED = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.Generator(np.random.PCG64(20240607))
@@ -129,6 +134,52 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _likely(least: float, percent: int, search: bool, most: int):
+    """Arrow function over rows (key, block, band, size, m, c): likely pairs (u, v) of members m and centres c.
+
+    A pair that shares several bands is returned for the first of them only. In a
+    search, a member of a large bucket keeps its NEAREST likeliest centres."""
+
+    def parts(column):
+        ints = lambda name: np.array([x[name] for x in column], dtype=np.int64)
+        return ints("rep"), ints("n"), ints("comp"), np.frombuffer(b"".join(x["sketch"] for x in column), "<u2").reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.names.index
+            us, vs = [], []
+            for band, size, m, c in zip(b.column(at("band")), b.column(at("size")), b.column(at("m")), b.column(at("c")), strict=True):
+                (rep, n, comp, regs), (rep_c, n_c, comp_c, regs_c) = parts(m.as_py()), parts(c.as_py())
+                band, small = band.as_py(), size.as_py() <= most
+                for low in range(0, len(rep), 64):
+                    part = slice(low, low + 64)
+                    same = (regs[part, None, :] == regs_c[None]).sum(axis=2)
+                    fits = (comp[part, None] != comp_c) & (rep[part, None] != rep_c) & (same >= least * REGISTERS)
+                    fits &= 100 * np.minimum(n[part, None], n_c) >= percent * np.maximum(n[part, None], n_c)
+                    if small:
+                        fits &= rep[part, None] < rep_c
+                    i, j = np.nonzero(fits)
+                    if not len(i):
+                        continue
+                    if search and not small:
+                        order = np.lexsort((-same[i, j], i))
+                        i, j = i[order], j[order]
+                    i = i + low
+                    bands = (regs[i].reshape(len(i), BANDS, ROWS) == regs_c[j].reshape(len(j), BANDS, ROWS)).all(axis=2)
+                    good = (bands.argmax(axis=1) == band) & (estimate(regs[i], regs_c[j], n[i], n_c[j]) >= least)
+                    i, j = i[good], j[good]
+                    if search and not small and len(i):
+                        start = np.searchsorted(i, i, side="left")
+                        near = np.arange(len(i)) - start < NEAREST
+                        i, j = i[near], j[near]
+                    us.append(rep[i])
+                    vs.append(rep_c[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
 def _linked(pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (u, v, tu, tv) with 100 * intersection >= percent * union of the full sets, as (u, v)."""
 
@@ -166,9 +217,9 @@ class NearDuplicates:
         self.classes = stash(full, "classes")
         width = 2 * ROWS
         keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sketch, b * {width} + 1, {width})))")
-        rows = self.classes.select("rep", "n", F.explode(keys).alias("key"))
+        rows = self.classes.select("rep", "n", F.posexplode(keys).alias("band", "key"))
         busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("c")).where("size > 1")
-        self.rows = stash(rows.join(busy, "key").select("key", "rep", "n", "size", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "buckets")
+        self.rows = stash(rows.join(busy, "key").select("key", "band", "rep", "n", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "buckets")
         needed = self.rows.select(F.col("rep").alias("__rid")).distinct()
         self.texts = stash(docs.select("__rid", F.col(f"`{text}`").alias("t")).join(needed, "__rid", "left_semi"), "texts")
         self.sketches = self.classes.select("rep", "sketch")
@@ -177,48 +228,73 @@ class NearDuplicates:
     def _similar_size(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Verified links among pairs (u, v, nu, nv), each pair compared once only over all calls."""
-        # sizes first: what a link needs is cheap to see
-        pairs = pairs.where(self._similar_size("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct()
+    def verified(self, likely: DataFrame) -> DataFrame:
+        """Verified links among likely pairs (u, v); a pair is compared once only over all calls."""
+        pairs = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        s = self.sketches
-        pairs = pairs.join(s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v")
-        likely = stash(_estimated(pairs, self.least), "likely")
-        self.compared = likely if self.compared is None else stash(self.compared.union(likely), "compared")
+        pairs = stash(pairs, "likely")
+        self.compared = pairs if self.compared is None else stash(self.compared.union(pairs), "compared")
         t = self.texts
-        pairs = likely.join(t.select(F.col("__rid").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("__rid").alias("v"), F.col("t").alias("tv")), "v")
-        return stash(_linked(pairs, self.percent, self.shingle), "verified")
+        both = pairs.join(t.select(F.col("__rid").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("__rid").alias("v"), F.col("t").alias("tv")), "v")
+        return stash(_linked(both, self.percent, self.shingle), "verified")
+
+    def first_links(self) -> DataFrame:
+        """Every member of a bucket with the bucket's smallest one."""
+        r = self.rows.where("rep <> center").where(self._similar_size("n", "center_n"))
+        r = r.select(F.col("rep").alias("u"), F.col("center").alias("v"), F.col("n").alias("nu"), F.col("center_n").alias("nv")).distinct()
+        s = self.sketches
+        r = r.join(s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v")
+        return self.verified(_estimated(r, self.least))
+
+    def round_pairs(self, rows: DataFrame, nth: int) -> tuple[DataFrame, DataFrame]:
+        """(likely pairs, centres (key, rep)) of one round over rows (key, band, rep, n, comp, size)."""
+        search = nth <= SEARCHES
+        h = F.xxhash64("rep", F.lit(nth))
+        shares = rows.groupBy("key", "comp").agg(F.count("*").alias("share"))
+        major = shares.groupBy("key").agg(F.max(F.struct("share", "comp")).alias("major")).select("key", F.col("major.comp").alias("major"))
+        large = rows.where(f"size > {SMALL}").join(shares, ["key", "comp"])
+        rank = F.struct(h.alias("h"), "rep") if search else F.struct("share", h.alias("h"), "rep")
+        picked = large.groupBy("key", F.pmod(h, F.lit(CENTERS)).alias("slot")).agg(F.min(rank).alias("c")).select("key", F.col("c.rep").alias("rep"))
+        picked = stash(picked.union(rows.where(f"size <= {SMALL}").select("key", "rep")), "centers")
+        data = rows.join(self.sketches, "rep")
+        one = F.struct("rep", "n", "comp", "sketch")
+        centers = data.join(picked, ["key", "rep"]).groupBy("key").agg(F.collect_list(one).alias("c"))  # CENTERS at most
+        looking = data.join(major, "key")
+        if search:  # members of a large bucket's main component need not look for others: these look for it
+            looking = looking.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("major")))
+        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+        members = looking.groupBy("key", block.alias("block")).agg(F.first("band").alias("band"), F.first("size").alias("size"), F.collect_list(one).alias("m"))  # about BLOCK
+        found = members.join(centers, "key").mapInArrow(_likely(self.least, self.percent, search, SMALL), "u long, v long")
+        return found, picked
+
+    def _similar_size(self, a: str, b: str):
+        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def labels(self) -> DataFrame:
         """(id, label): representatives that have links, and the smallest representative of their component."""
-        rows = self.rows
-        verified = self.links(rows.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v"), F.col("n").alias("nu"), F.col("center_n").alias("nv")))
+        verified = self.first_links()
         labels = components(verified)
-        rows = rows.where("not (rep = center)").select("key", "rep", "n")  # a centre is finished in its bucket
+        rows = self.rows.where("rep <> center").select("key", "band", "rep", "n")  # a centre is finished in its bucket
         nth = 0
         while True:
             nth += 1
-            named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
+            named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("label", "rep").alias("comp"))
             open_keys = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
             rows = stash(named.join(open_keys, "key"), "open-buckets")
             if rows.isEmpty():
                 return labels
-            small = rows.where(f"size <= {SMALL}").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "comp")).alias("m"))  # SMALL members at most
-            within = small.select(F.explode(F.expr("flatten(transform(m, a -> transform(filter(m, b -> a.rep < b.rep and a.comp <> b.comp), b -> struct(a.rep as u, b.rep as v, a.n as nu, b.n as nv))))")).alias("p")).select("p.*")
-            large = rows.where(f"size > {SMALL}")
-            # a member of a bucket's smallest component in each of CENTERS slots is a centre of this round
-            shares = large.groupBy("key", "comp").agg(F.count("*").alias("share"))
-            h = F.xxhash64("rep", F.lit(nth))
-            slots = large.join(shares, ["key", "comp"]).groupBy("key", F.pmod(h, F.lit(CENTERS)).alias("slot")).agg(F.min(F.struct("share", h.alias("h"), "rep", "n", "comp")).alias("c"))
-            slots = stash(slots.select("key", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp")), "centers")
-            star = large.join(slots, "key").where(F.col("comp") != F.col("c_comp")).select(F.col("rep").alias("u"), F.col("c_rep").alias("v"), F.col("n").alias("nu"), F.col("c_n").alias("nv"))
-            more = self.links(within.union(star))
+            likely, centers = self.round_pairs(rows, nth)
+            more = self.verified(likely)
             if not more.isEmpty():
                 verified = stash(verified.union(more), "links-so-far")
                 labels = components(verified)
-            rows = large.select("key", "rep", "n").join(slots.select("key", F.col("c_rep").alias("rep")), ["key", "rep"], "left_anti")
+            rows = rows.where(f"size > {SMALL}")
+            if nth > SEARCHES:
+                rows = rows.join(centers, ["key", "rep"], "left_anti")
+            elif more.isEmpty():
+                nth = SEARCHES  # searching on would find little
+            rows = rows.select("key", "band", "rep", "n")
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:

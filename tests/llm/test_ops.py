@@ -309,7 +309,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
             copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
         texts.append((1000 + i, " ".join(copy).upper() if i % 5 == 0 else " ".join(copy)))
     texts += [(2000 + i, words(500 + i, 80)) for i in range(20)] + [(3000, "One Two"), (3001, "one two"), (3002, "two one")]
-    for small, centers in ((32, 64), (2, 3)):  # the second settles every bucket by rounds of centres
+    for small, centers in ((32, 64), (4, 24)):  # the second settles every bucket by rounds of centres
         monkeypatch.setattr(near_dup, "SMALL", small)
         monkeypatch.setattr(near_dup, "CENTERS", centers)
         out = near_dup.find(with_row_id(docs(spark, texts)), shingle=4).collect()
