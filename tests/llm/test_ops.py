@@ -303,7 +303,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     r = random.Random(8)
     base = words(40, 120, 5000).split()
     texts = list(ODD)
-    for i in range(90):  # one large group, some of it only linked through others
+    for i in range(45):  # one large group, some of it only linked through others
         copy = list(base)
         for _ in range(r.randrange(9)):
             copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
