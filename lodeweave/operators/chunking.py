@@ -195,7 +195,9 @@ def chunk(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
         return pd.DataFrame([{"tenant_id": key[0], "document_id": key[1], **r} for r in made], columns=names)
 
     ready = blocks.withColumn("block_id", ids.block_id(F.col("document_id"), F.col("page_number"), F.col("block_index"), F.col("text")))
-    out = ready.groupBy("tenant_id", "document_id").applyInPandas(fold, FIELDS)
+    # folding costs far more time than its few bytes tell, so partitions aren't merged by size
+    n = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = ready.repartition(n, "tenant_id", "document_id").groupBy("tenant_id", "document_id").applyInPandas(fold, FIELDS)
     return out.withColumn("chunk_id", ids.chunk_id(F.col("document_id"), F.col("chunk_index"), F.col("text"), F.col("tenant_id")))
 
 

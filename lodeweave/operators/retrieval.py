@@ -156,16 +156,20 @@ def boost(candidates: DataFrame, limit: int = 0, boosts: dict[str, float] = BOOS
 
 def lexical_relevance(text: Column, terms: Column, phrases: Column, window: int = 60) -> Column:
     """0.65 coverage + 0.20 density of first positions + 0.15 phrase share, 6 decimals."""
-    tokens = tx.terms(text)
     unique = F.array_distinct(terms)
-    firsts = F.filter(F.transform(unique, lambda t: F.array_position(tokens, t)), lambda p: p > 0)
-    n, found = F.size(unique), F.size(firsts)
-    gap = F.array_max(firsts) - F.array_min(firsts)
-    density = F.when(found == 0, 0.0).when((found == 1) | (gap <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.lit(float(window)) / gap))
     said = F.filter(phrases, lambda p: p != "")
-    phrase = F.when(F.size(said) > 0, F.size(F.filter(said, lambda p: F.contains(F.lower(text), p))) / F.size(said)).otherwise(0.0)
-    coverage = F.when(n > 0, found / n).otherwise(0.0)
-    return F.when((n == 0) & (F.size(said) == 0), 0.0).otherwise(F.round(0.65 * coverage + 0.2 * density + 0.15 * phrase, 6))
+    n = F.size(unique)
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluated once, however often f uses it
+    firsts = bind(tx.terms(text), lambda tokens: F.filter(F.transform(unique, lambda t: F.array_position(tokens, t)), lambda p: p > 0))
+
+    def score(found: Column) -> Column:
+        gap = F.array_max(found) - F.array_min(found)
+        density = F.when(F.size(found) == 0, 0.0).when((F.size(found) == 1) | (gap <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.lit(float(window)) / gap))
+        phrase = F.when(F.size(said) > 0, F.size(F.filter(said, lambda p: F.contains(F.lower(text), p))) / F.size(said)).otherwise(0.0)
+        coverage = F.when(n > 0, F.size(found) / n).otherwise(0.0)
+        return F.when((n == 0) & (F.size(said) == 0), 0.0).otherwise(F.round(0.65 * coverage + 0.2 * density + 0.15 * phrase, 6))
+
+    return bind(firsts, score)
 
 
 def rerank(candidates: DataFrame, k: int, weight: float = 0.85) -> DataFrame:
