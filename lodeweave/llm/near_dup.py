@@ -10,15 +10,16 @@ propose candidates: two sets of similarity s meet in no band with probability
 
 No group is expanded into pairs. In each bucket every member is first compared
 with one centre. Verified links merge components, and only buckets whose members
-are still in different components go on, in rounds: blocks of members meet a
-bucket's centres as packed registers and only likely pairs become rows. Buckets of
-at most SMALL members (a constant) settle at once, all members being centres.
-In larger ones members outside the main component first look for it, with a few
-of the likeliest of CENTERS random centres in each of SEARCHES rounds; what is
-then left takes centres from the smallest components, each finished after its
-round. So every two members of a bucket end connected or compared. A pair is
-dropped only beyond six standard errors of the registers' maximum-likelihood
-estimate, given both sizes; the rest is confirmed on the full sets.
+are still in different components go on: blocks of members meet blocks of centres
+as packed registers and signatures, and only likely pairs become rows. Buckets of
+at most SMALL members (a constant) settle at once. In larger ones members outside
+the main component first look for it, with the NEAREST of CENTERS random centres,
+for as long as that links many of them; then these buckets settle too: all
+members outside the main component are centres. So every two members of a bucket
+end connected or compared. A pair is dropped only beyond six standard errors of
+the registers' maximum-likelihood estimate, given both sizes, or of the share of
+common values among the least SIGNATURE of both sets; the rest is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 32
 CENTERS = 64
 BLOCK = 256
+SIGNATURE = 512
 SEARCHES, NEAREST = 3, 3
 WORDS_CACHED = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -134,43 +136,73 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _likely(least: float, percent: int, search: bool, most: int):
-    """Arrow function over rows (key, block, band, size, m, c): likely pairs (u, v) of members m and centres c.
+def signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """(rep, sig) for (__rid, t): the upper halves of the least SIGNATURE hashes of the set, sorted, as bytes."""
 
-    A pair that shares several bands is returned for the first of them only. In a
-    search, a member of a large bucket keeps its NEAREST likeliest centres."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(shingle)
+        for b in batches:
+            sigs = [np.unique((make(t)[:SIGNATURE] >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["rep", "sig"])
+
+    return texts.select("__rid", "t").mapInArrow(run, "rep long, sig binary")
+
+
+def _may_reach(a: np.ndarray, b: np.ndarray, whole: bool, percent: int) -> bool:
+    """Whether sets with these signatures may have the similarity; whole: the signatures hold the sets.
+
+    Four hashes a pair may meet in their upper halves by chance."""
+    slack, margin = 4, 0.0
+    common = np.intersect1d(a, b, assume_unique=True)
+    union = len(a) + len(b) - len(common)
+    if not whole and union > SIGNATURE:
+        last = np.partition(np.union1d(a, b), SIGNATURE - 1)[SIGNATURE - 1]
+        common, union = common[common <= last], SIGNATURE
+    if not whole:
+        margin = 600 * (percent / 100 * (1 - percent / 100) / SIGNATURE) ** 0.5
+    return 100 * (len(common) + slack) >= (percent - margin) * (union - slack)
+
+
+def _likely(least: float, percent: int):
+    """Arrow function over rows (band, settle, major, m, c): likely pairs (u, v) of members m and centres c.
+
+    A pair that shares several bands is returned for the first of them only. Where a
+    bucket doesn't settle but is searched, a member keeps its NEAREST likeliest centres."""
 
     def parts(column):
         ints = lambda name: np.array([x[name] for x in column], dtype=np.int64)
-        return ints("rep"), ints("n"), ints("comp"), np.frombuffer(b"".join(x["sketch"] for x in column), "<u2").reshape(len(column), -1)
+        regs = np.frombuffer(b"".join(x["sketch"] for x in column), "<u2").reshape(len(column), -1)
+        return ints("rep"), ints("n"), ints("comp"), regs, [np.frombuffer(x["sig"], "<u4") for x in column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.names.index
             us, vs = [], []
-            for band, size, m, c in zip(b.column(at("band")), b.column(at("size")), b.column(at("m")), b.column(at("c")), strict=True):
-                (rep, n, comp, regs), (rep_c, n_c, comp_c, regs_c) = parts(m.as_py()), parts(c.as_py())
-                band, small = band.as_py(), size.as_py() <= most
+            for band, settle, major, m, c in zip(*(b.column(at(x)) for x in ("band", "settle", "major", "m", "c")), strict=True):
+                (rep, n, comp, regs, sigs), (rep_c, n_c, comp_c, regs_c, sigs_c) = parts(m.as_py()), parts(c.as_py())
+                band, settle, major = band.as_py(), settle.as_py(), major.as_py()
                 for low in range(0, len(rep), 64):
                     part = slice(low, low + 64)
-                    same = (regs[part, None, :] == regs_c[None]).sum(axis=2)
-                    fits = (comp[part, None] != comp_c) & (rep[part, None] != rep_c) & (same >= least * REGISTERS)
+                    fits = (comp[part, None] != comp_c) & (rep[part, None] != rep_c)
                     fits &= 100 * np.minimum(n[part, None], n_c) >= percent * np.maximum(n[part, None], n_c)
-                    if small:
-                        fits &= rep[part, None] < rep_c
-                    i, j = np.nonzero(fits)
-                    if not len(i):
+                    if settle:  # centres are members too, but for the main component
+                        fits &= (comp[part, None] == major) | (rep[part, None] < rep_c)
+                    if not fits.any():
                         continue
-                    if search and not small:
+                    same = (regs[part, None, :] == regs_c[None]).sum(axis=2)
+                    i, j = np.nonzero(fits & (same >= least * REGISTERS))
+                    if not settle:
                         order = np.lexsort((-same[i, j], i))
                         i, j = i[order], j[order]
                     i = i + low
                     bands = (regs[i].reshape(len(i), BANDS, ROWS) == regs_c[j].reshape(len(j), BANDS, ROWS)).all(axis=2)
                     good = (bands.argmax(axis=1) == band) & (estimate(regs[i], regs_c[j], n[i], n_c[j]) >= least)
                     i, j = i[good], j[good]
-                    if search and not small and len(i):
-                        start = np.searchsorted(i, i, side="left")
-                        near = np.arange(len(i)) - start < NEAREST
+                    whole = np.maximum(n[i], n_c[j]) <= SIGNATURE
+                    good = np.array([_may_reach(sigs[x], sigs_c[y], w, percent) for x, y, w in zip(i, j, whole, strict=True)], dtype=bool)
+                    i, j = i[good], j[good]
+                    if not settle and len(i):
+                        near = np.arange(len(i)) - np.searchsorted(i, i, side="left") < NEAREST
                         i, j = i[near], j[near]
                     us.append(rep[i])
                     vs.append(rep_c[j])
@@ -223,18 +255,13 @@ class NearDuplicates:
         needed = self.rows.select(F.col("rep").alias("__rid")).distinct()
         self.texts = stash(docs.select("__rid", F.col(f"`{text}`").alias("t")).join(needed, "__rid", "left_semi"), "texts")
         self.sketches = self.classes.select("rep", "sketch")
-        self.compared: DataFrame | None = None
 
     def _similar_size(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def verified(self, likely: DataFrame) -> DataFrame:
-        """Verified links among likely pairs (u, v); a pair is compared once only over all calls."""
+        """Verified links among likely pairs (u, v)."""
         pairs = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        pairs = stash(pairs, "likely")
-        self.compared = pairs if self.compared is None else stash(self.compared.union(pairs), "compared")
         t = self.texts
         both = pairs.join(t.select(F.col("__rid").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("__rid").alias("v"), F.col("t").alias("tv")), "v")
         return stash(_linked(both, self.percent, self.shingle), "verified")
@@ -247,36 +274,33 @@ class NearDuplicates:
         r = r.join(s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v")
         return self.verified(_estimated(r, self.least))
 
-    def round_pairs(self, rows: DataFrame, nth: int) -> tuple[DataFrame, DataFrame]:
-        """(likely pairs, centres (key, rep)) of one round over rows (key, band, rep, n, comp, size)."""
-        search = nth <= SEARCHES
-        h = F.xxhash64("rep", F.lit(nth))
+    def round_pairs(self, rows: DataFrame, data: DataFrame, search: bool) -> DataFrame:
+        """Likely pairs (u, v) of one round over rows (key, band, rep, n, comp, size); data: (rep, sketch, sig).
+
+        A search settles buckets of at most SMALL members only."""
         shares = rows.groupBy("key", "comp").agg(F.count("*").alias("share"))
-        major = shares.groupBy("key").agg(F.max(F.struct("share", "comp")).alias("major")).select("key", F.col("major.comp").alias("major"))
-        large = rows.where(f"size > {SMALL}").join(shares, ["key", "comp"])
-        rank = F.struct(h.alias("h"), "rep") if search else F.struct("share", h.alias("h"), "rep")
-        picked = large.groupBy("key", F.pmod(h, F.lit(CENTERS)).alias("slot")).agg(F.min(rank).alias("c")).select("key", F.col("c.rep").alias("rep"))
-        picked = stash(picked.union(rows.where(f"size <= {SMALL}").select("key", "rep")), "centers")
-        data = rows.join(self.sketches, "rep")
-        one = F.struct("rep", "n", "comp", "sketch")
-        centers = data.join(picked, ["key", "rep"]).groupBy("key").agg(F.collect_list(one).alias("c"))  # CENTERS at most
-        looking = data.join(major, "key")
-        if search:  # members of a large bucket's main component need not look for others: these look for it
-            looking = looking.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("major")))
+        major = shares.groupBy("key").agg(F.max(F.struct("share", "comp")).alias("top"))
+        major = major.select("key", F.col("top.comp").alias("major"), F.col("top.share").alias("share"))
+        settle = (F.col("size") <= SMALL) if search else F.lit(True)
+        full = rows.join(data, "rep").join(major, "key").withColumn("settle", settle)
+        one, outside = F.struct("rep", "n", "comp", "sketch", "sig"), F.col("comp") != F.col("major")
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil((F.col("size") - F.col("share")) / BLOCK))
+        centers = full.where(F.col("settle") & outside).groupBy("key", chunk.alias("chunk")).agg(F.collect_list(one).alias("c")).select("key", "c")  # about BLOCK
+        if search:
+            h = F.xxhash64("rep", F.lit(1))
+            picked = full.where("not settle").groupBy("key", F.pmod(h, F.lit(CENTERS)).alias("slot")).agg(F.min_by(one, h).alias("one"))
+            centers = centers.union(picked.groupBy("key").agg(F.collect_list("one").alias("c")))  # CENTERS at most
         block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-        members = looking.groupBy("key", block.alias("block")).agg(F.first("band").alias("band"), F.first("size").alias("size"), F.collect_list(one).alias("m"))  # about BLOCK
-        found = members.join(centers, "key").mapInArrow(_likely(self.least, self.percent, search, SMALL), "u long, v long")
-        return found, picked
-
-    def _similar_size(self, a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+        looking = full.where(F.col("settle") | outside)  # the main component of a searched bucket is looked for, it need not look
+        members = looking.groupBy("key", block.alias("block")).agg(*(F.first(x).alias(x) for x in ("band", "settle", "major")), F.collect_list(one).alias("m"))
+        return members.join(centers, "key").mapInArrow(_likely(self.least, self.percent), "u long, v long")
 
     def labels(self) -> DataFrame:
         """(id, label): representatives that have links, and the smallest representative of their component."""
         verified = self.first_links()
         labels = components(verified)
         rows = self.rows.where("rep <> center").select("key", "band", "rep", "n")  # a centre is finished in its bucket
-        nth = 0
+        data, search, nth = None, True, 0
         while True:
             nth += 1
             named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("label", "rep").alias("comp"))
@@ -284,17 +308,20 @@ class NearDuplicates:
             rows = stash(named.join(open_keys, "key"), "open-buckets")
             if rows.isEmpty():
                 return labels
-            likely, centers = self.round_pairs(rows, nth)
-            more = self.verified(likely)
-            if not more.isEmpty():
+            if data is None:
+                reps = rows.select("rep").distinct()
+                texts = self.texts.join(reps.withColumnRenamed("rep", "__rid"), "__rid", "left_semi")
+                data = stash(signatures(texts, self.shingle).join(self.sketches, "rep"), "signatures")
+            more = self.verified(self.round_pairs(rows, data, search))
+            found = more.count()
+            if found:
                 verified = stash(verified.union(more), "links-so-far")
                 labels = components(verified)
-            rows = rows.where(f"size > {SMALL}")
-            if nth > SEARCHES:
-                rows = rows.join(centers, ["key", "rep"], "left_anti")
-            elif more.isEmpty():
-                nth = SEARCHES  # searching on would find little
-            rows = rows.select("key", "band", "rep", "n")
+            if not search:
+                return labels
+            rows = rows.where(f"size > {SMALL}").select("key", "band", "rep", "n", "comp")
+            search = nth < SEARCHES and 4 * found > rows.agg(F.count_distinct("comp")).first()[0]
+            rows = rows.drop("comp")
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
