@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import stash, with_row_id
+from lodeweave.llm.common import discard, stash, with_row_id
 from lodeweave.llm.components import components
 
 BANDS, ROWS = 39, 4
@@ -274,15 +274,18 @@ class NearDuplicates:
         r = r.join(s.select(F.col("rep").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("rep").alias("v"), F.col("sketch").alias("sv")), "v")
         return self.verified(_estimated(r, self.least))
 
-    def round_pairs(self, rows: DataFrame, data: DataFrame, search: bool) -> DataFrame:
-        """Likely pairs (u, v) of one round over rows (key, band, rep, n, comp, size); data: (rep, sketch, sig).
+    def round_rows(self, rows: DataFrame, data: DataFrame, search: bool) -> DataFrame:
+        """rows (key, band, rep, n, comp, size) with sketch, sig, the bucket's main component (major, of share rows) and settle.
 
-        A search settles buckets of at most SMALL members only."""
+        A search settles buckets of at most SMALL members only. Written once, as members and centres are both taken from it."""
         shares = rows.groupBy("key", "comp").agg(F.count("*").alias("share"))
         major = shares.groupBy("key").agg(F.max(F.struct("share", "comp")).alias("top"))
         major = major.select("key", F.col("top.comp").alias("major"), F.col("top.share").alias("share"))
         settle = (F.col("size") <= SMALL) if search else F.lit(True)
-        full = rows.join(data, "rep").join(major, "key").withColumn("settle", settle)
+        return stash(rows.join(data, "rep").join(major, "key").withColumn("settle", settle), "round")
+
+    def round_pairs(self, full: DataFrame, search: bool) -> DataFrame:
+        """Likely pairs (u, v) of one round over round_rows()."""
         one, outside = F.struct("rep", "n", "comp", "sketch", "sig"), F.col("comp") != F.col("major")
         chunk = F.pmod(F.xxhash64("rep"), F.ceil((F.col("size") - F.col("share")) / BLOCK))
         centers = full.where(F.col("settle") & outside).groupBy("key", chunk.alias("chunk")).agg(F.collect_list(one).alias("c")).select("key", "c")  # about BLOCK
@@ -312,7 +315,9 @@ class NearDuplicates:
                 reps = rows.select("rep").distinct()
                 texts = self.texts.join(reps.withColumnRenamed("rep", "__rid"), "__rid", "left_semi")
                 data = stash(signatures(texts, self.shingle).join(self.sketches, "rep"), "signatures")
-            more = self.verified(self.round_pairs(rows, data, search))
+            full = self.round_rows(rows, data, search)
+            more = self.verified(self.round_pairs(full, search))
+            discard(full)
             found = more.count()
             if found:
                 verified = stash(verified.union(more), "links-so-far")
