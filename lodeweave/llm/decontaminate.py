@@ -3,17 +3,21 @@
 Numbers, names and units become typed placeholders, so that a question whose
 parameters were changed keeps its template. Windows of template tokens are
 hashed; documents' windows pass a fixed-size bit filter made from the
-benchmark's windows and the rest meet the benchmark by a hash join. Windows on
-one diagonal of a (document, item) pair are slot-checked: equal slot values of
-the item must stand for equal values of the document, and the other way round.
-A document is contaminated by an item when consistent windows cover at least
-``min_coverage`` of the item's windows.
+benchmark's windows and the rest meet the benchmark by a hash join. A capitalised
+word that begins a sentence is read both as a word and as a name. Windows on one
+diagonal of a (document, item) pair are slot-checked one by one: a verbatim window
+counts, and so does one whose slot values all follow the diagonal's replacements.
+A value of the item is replaced by what stands for it at most of its places; two
+values may be replaced by the same one. A document is contaminated by an item when
+such windows cover at least ``min_coverage`` of the item's windows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,8 @@ from lodeweave.llm.common import with_row_id
 
 WINDOW = 6
 FILTER_BITS = 22
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
+MARK = "\0"  # before a capitalised word that begins a sentence
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\0?[^\W\d_]+")
 SENTENCE = re.compile(r"(?:\A|[.!?:;\n])\W*[^\W\d_]")
 UNITS = frozenset(
     "mg g kg t mm cm m km in ft yd mi ml l oz lb lbs percent cents dollars dollar euros euro pounds pound "
@@ -33,10 +38,21 @@ UNITS = frozenset(
     "metres meter metre feet foot inches inch liters litres liter litre grams gram kilograms kilogram degrees".split()
 )
 NUMBER, NAME, UNIT = 11, 12, 13  # codes of the placeholders
+INITIAL = 1 << 40  # set in the code of a marked word
 WORDS_CACHED = 300_000
+STRETCH = 16_384  # windows read at a time, as a window has up to 2**WINDOW readings
 SPREAD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
+def _mark(m: re.Match) -> str:
+    found = m.group()
+    return found[:-1] + MARK + found[-1] if found[-1].isupper() else found
+
+
+def _part(codes: np.ndarray) -> np.ndarray:
+    return codes ^ (codes >> np.uint64(7))
+
+
 class Templates:
     """Template codes and window hashes of texts."""
 
@@ -48,80 +64,108 @@ class Templates:
             return NUMBER
         if token[0].isupper():
             return NAME
-        code = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) * 2 + 64
-        return code + 1 if token in UNITS else code  # the low bit marks what is a unit after a number
+        word = token.lstrip(MARK).lower()
+        code = zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2 + 64 + (INITIAL if token[0] == MARK else 0)
+        return code + 1 if word in UNITS else code  # the low bit marks what is a unit after a number
 
-    def codes(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        tokens, known = TOKEN.findall(SENTENCE.sub(lambda m: m.group().lower(), text)) if text else [], self.known
+    def codes(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Tokens, their codes, and which of them begin a sentence with a capital, so that they may be names."""
+        tokens, known = TOKEN.findall(SENTENCE.sub(_mark, text.replace(MARK, "\1"))) if text else [], self.known
         if len(known) > WORDS_CACHED:
             known.clear()
         for t in tokens:
             if t not in known:
                 known[t] = self._code(t)
         codes = np.fromiter((known[t] for t in tokens), dtype=np.uint64, count=len(tokens))
+        initial = codes >= INITIAL
+        codes &= np.uint64(INITIAL - 1)
         after = np.zeros(len(codes), dtype=bool)
         after[1:] = codes[:-1] == NUMBER
-        return tokens, np.where(after & (codes >= 64) & (codes & np.uint64(1) == 1), np.uint64(UNIT), codes)
+        return tokens, np.where(after & (codes >= 64) & (codes & np.uint64(1) == 1), np.uint64(UNIT), codes), initial
 
     @staticmethod
-    def hashes(codes: np.ndarray, n: int = WINDOW) -> np.ndarray:
-        """Hash of each window of n codes; 0 where fewer than half the codes are words."""
-        if len(codes) < n or not n:
-            return np.zeros(0, dtype=np.uint64)
-        size = len(codes) - n + 1
-        h, words = np.full(size, n, dtype=np.uint64), np.zeros(size, dtype=np.int32)
-        for k in range(n):
-            part = codes[k : k + size]
-            h += (part ^ (part >> np.uint64(7))) * SPREAD[k]
-            words += part >= 64
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
-        return np.where(words * 2 >= n, h, np.uint64(0))
+    def readings(codes: np.ndarray, initial: np.ndarray, n: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, hashes, names) of the readings of windows of n codes, some windows at a time.
+
+        Bit k of names is set where token k, which begins a sentence, is read as a name. Left out
+        are readings in which fewer than half the codes are words."""
+        for start in range(0, len(codes) - n + 1 if n else 0, STRETCH):
+            size = min(STRETCH, len(codes) - n + 1 - start)
+            part, word = _part(codes[start : start + size + n - 1]), codes[start : start + size + n - 1] >= 64
+            first = initial[start : start + size + n - 1]
+            at, h, words, names = np.arange(size), np.full(size, n, dtype=np.uint64), np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+            for k in range(n):
+                h += part[k : k + size] * SPREAD[k]
+                words += word[k : k + size]
+            if first.any():
+                change, less = _part(np.uint64(NAME)) - part, word.astype(np.int32)
+                until = np.concatenate([[0], np.cumsum(first)])
+                more = np.flatnonzero(until[n:] > until[:size])
+                a, b, c, d = at[more], h[more], words[more], names[more]
+                for k in range(n):
+                    pick = np.flatnonzero(first[a + k])
+                    if len(pick):
+                        x = a[pick] + k
+                        a, b = np.concatenate([a, a[pick]]), np.concatenate([b, b[pick] + change[x] * SPREAD[k]])
+                        c, d = np.concatenate([c, c[pick] - less[x]]), np.concatenate([d, d[pick] | (1 << k)])
+                at, h = np.concatenate([at, a[len(more) :]]), np.concatenate([h, b[len(more) :]])
+                words, names = np.concatenate([words, c[len(more) :]]), np.concatenate([names, d[len(more) :]])
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+            good = words * 2 >= n
+            yield at[good] + start, h[good], names[good]
 
     @staticmethod
-    def slots(tokens: list[str], codes: np.ndarray, at: int, n: int) -> list[str]:
-        return [tokens[i].lower() for i in range(at, at + n) if codes[i] < 64]
-
-
-HITS = "h long, n int, pos int, slots array<string>"
-
-
-def _emit(keys, texts, wanted, cap: int = 20_000):
-    """Arrow batches of (key, h, n, pos, windows, slots) for the windows that wanted(n) keeps."""
-    make, rows = Templates(), []
-    for key, text in zip(keys, texts, strict=True):
-        tokens, codes = make.codes(text)
-        for n, keep in wanted(len(codes)):
-            h = make.hashes(codes, n)
-            good = np.flatnonzero(h)
-            for at in good[keep(h[good])]:
-                rows.append((key, int(h[at].astype(np.int64)), n, int(at), len(good), make.slots(tokens, codes, at, n)))
-            while len(rows) >= cap:
-                yield rows[:cap]
-                rows = rows[cap:]
-    if rows:
-        yield rows
-
-
-def _batch(rows, key_type) -> pa.RecordBatch:
-    k, h, n, pos, windows, slots = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k, key_type), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), pa.array(windows, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
-        names=["k", "h", "n", "pos", "windows", "slots"],
-    )
+    def slots(codes: np.ndarray, at: int, n: int, names: int) -> list[int]:
+        return [i for i in range(at, at + n) if codes[i] < 64 or names >> (i - at) & 1]
+
+
+COLUMNS = "h long, n int, pos int, places array<int>, slots array<string>"
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
+
+
+def _rows(key, tokens, codes, n, at, h, names) -> Iterator[tuple]:
+    for where, value, read in zip(at.tolist(), h.astype(np.int64).tolist(), names.tolist(), strict=True):
+        places = Templates.slots(codes, where, n, read)
+        yield key, value, n, where, places, [tokens[i].lstrip(MARK).lower() for i in places]
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], cap: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, cap)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
 
 def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
     """Windows of every benchmark item; an item of fewer than WINDOW tokens is one window of its own length."""
     kind = dict(items.dtypes)[key]
 
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        make = Templates()
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens, codes, initial = make.codes(t)
+            n = min(len(codes), WINDOW)
+            found = list(make.readings(codes, initial, n))
+            windows = len(np.unique(np.concatenate([at for at, *_ in found]))) if found else 0
+            for part in found:
+                for row in _rows(k, tokens, codes, n, *part):
+                    yield *row, windows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in _emit(b.column(0).to_pylist(), b.column(1).to_pylist(), lambda size: [(min(size, WINDOW), lambda h: np.ones(len(h), bool))]):
-                yield _batch(rows, b.schema.field(0).type)
+            yield from _batches(rows(b), ["k", "h", "n", "pos", "places", "slots", "windows"], [b.schema.field(0).type, *KINDS, pa.int32()])
+
+    return items.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"k {kind}, {COLUMNS}, windows int")
+
+
+def consistent(hits: list[dict]) -> list[dict]:
+    """The hits of one diagonal, {pos, slots: [{p, a, b}]}, that are verbatim or follow its replacements.
 
-    rows = items.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    return rows.mapInArrow(run, f"k {kind}, h long, n int, pos int, windows int, slots array<string>")
+    p is the place in the item, a the item's value there and b the document's. A replacement
+    of a is what stands at more than half of the places of a."""
+    stands = {s["p"]: (s["a"], s["b"]) for hit in hits for s in hit["slots"]}
+    pairs, places = Counter(stands.values()), Counter(a for a, _ in stands.values())
+    follows = {(a, b) for (a, b), times in pairs.items() if times * 2 > places[a]}
+    return [hit for hit in hits if all(s["a"] == s["b"] for s in hit["slots"]) or all((s["a"], s["b"]) in follows for s in hit["slots"])]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str = "__rid", item_text: str = "text", item_key: str = "item_id", min_coverage: float = 0.4) -> DataFrame:
@@ -139,27 +183,36 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
         bits.setdefault(r["n"], np.zeros(1 << FILTER_BITS, dtype=bool))[r["s"]] = True
     shared = spark.sparkContext.broadcast({n: np.packbits(b) for n, b in bits.items()})
 
+    def rows(batch: pa.RecordBatch, make: Templates, tables: dict[int, np.ndarray]) -> Iterator[tuple]:
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens, codes, initial = make.codes(t)
+            for n, table in tables.items():
+                for at, h, names in make.readings(codes, initial, n):
+                    keep = table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    yield from _rows(k, tokens, codes, n, at[keep], h[keep], names[keep])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {n: np.unpackbits(b).astype(bool) for n, b in shared.value.items()}
-        wanted = [(n, lambda h, t=t: t[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]) for n, t in sorted(tables.items())]
+        make, tables = Templates(), {n: np.unpackbits(b).astype(bool) for n, b in sorted(shared.value.items())}
         for b in batches:
-            for rows in _emit(b.column(0).to_pylist(), b.column(1).to_pylist(), lambda size: wanted):
-                yield _batch(rows, pa.int64())
+            yield from _batches(rows(b, make, tables), ["k", "h", "n", "pos", "places", "slots"], [pa.int64(), *KINDS])
 
-    hits = docs.select(F.col(f"`{row}`"), F.col(f"`{text}`")).mapInArrow(run, "k long, h long, n int, pos int, windows int, slots array<string>")
+    hits = docs.select(F.col(f"`{row}`"), F.col(f"`{text}`")).mapInArrow(run, f"k long, {COLUMNS}").drop("places")
     d, i = hits.alias("d"), windows.alias("i")
     pairs = d.join(i, (F.col("d.h") == F.col("i.h")) & (F.col("d.n") == F.col("i.n")) & (F.size("d.slots") == F.size("i.slots"))).select(
-        F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("d.pos").alias("at"),
-        F.col("i.pos").alias("pos"), F.col("i.windows").alias("windows"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
-    )
-    lines = pairs.groupBy("row", "item", "diagonal").agg(
-        F.first("windows").alias("windows"), F.collect_set("pos").alias("places"), F.min("at").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.pos").alias("pos"),
+        F.arrays_zip(F.col("i.places").alias("p"), F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
     )
-    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    consistent = (distinct(lambda s: s["a"]) == F.size("slots")) & (distinct(lambda s: s["b"]) == F.size("slots"))
-    best = lines.where(consistent).groupBy("row", "item").agg(
-        F.first("windows").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.min("at").alias("first_pos")
+    lines = pairs.groupBy("row", "item", "diagonal").agg(F.first("windows").alias("windows"), F.collect_set(F.struct("pos", "slots")).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [sorted({hit["pos"] for hit in consistent(hits.as_py())}) for hits in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(places, pa.list_(pa.int32()))], names=["row", "item", "diagonal", "windows", "places"])
+
+    kind = dict(items.dtypes)[item_key]
+    judged = lines.select("row", "item", "diagonal", "windows", "hits").mapInArrow(judge, f"row long, item {kind}, diagonal int, windows int, places array<int>")
+    best = judged.where(F.size("places") > 0).groupBy("row", "item").agg(
+        F.first("windows").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.min(F.col("diagonal") + F.col("places")[0]).alias("first_pos")
     )
     return best.where(F.col("matched") >= F.col("windows") * min_coverage)
 

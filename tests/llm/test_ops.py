@@ -80,6 +80,24 @@ def test_decontamination(spark):
     assert decontaminate.report(docs(spark, []), bench).count() == 0 == decontaminate.report(docs(spark, texts), bench.limit(0)).count()
 
 
+def test_decontamination_by_windows(spark):
+    item = "the quick gardener planted 12 roses near the old stone wall while Maria counted 12 birds before the long summer rain and then sold 12 of the roses to her best friend"
+    apples = "Tom has 5 apples. Tom eats 3 of them. Tom buys 4 more. How many apples does Tom have?"
+    ages = "if the older brother is 5 years old and the younger sister is 7 years old then how old are they together"
+    texts = [
+        (1, item.replace("12 birds", "48 birds")),  # one changed occurrence; the rest is verbatim
+        (2, ages.replace("5", "4").replace("7", "4")),  # new values coincide
+        (3, apples.replace("Tom", "Anna")), (4, "so he said tom has 5 apples " + words(6, 40)), (5, "Boxes. " + words(7, 60)),
+        (6, "A. B. C. D. E. F. G. H. " * 9_000),  # every word begins a sentence
+    ]
+    bench = spark.createDataFrame([(1, item), (2, ages), (3, apples)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.report(docs(spark, texts), bench).collect()}
+    assert set(out) == {(1, 1), (2, 2), (3, 3)}
+    assert (out[2, 2]["matched"], out[2, 2]["windows"], out[2, 2]["first_pos"]) == (17, 17, 0)
+    whole = decontaminate.report(docs(spark, [(1, "Now. " + apples)]), bench).first()
+    assert whole["matched"] == whole["windows"] and whole["first_pos"] == 1
+
+
 # --- 3 ---
 
 
