@@ -8,8 +8,10 @@ word that begins a sentence is read both as a word and as a name. Windows on one
 diagonal of a (document, item) pair are slot-checked one by one: a verbatim window
 counts, and so does one whose slot values all follow the diagonal's replacements.
 A value of the item is replaced by what stands for it at most of its places; two
-values may be replaced by the same one. A document is contaminated by an item when
-such windows cover at least ``min_coverage`` of the item's windows.
+values may be replaced by the same one. Windows with too few words for a template
+are hashed by their literal tokens, so that exact copies of them still meet. A
+document is contaminated by an item when such windows cover at least
+``min_coverage`` of the item's windows, or of those that have a template.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ UNITS = frozenset(
 NUMBER, NAME, UNIT = 11, 12, 13  # codes of the placeholders
 INITIAL = 1 << 40  # set in the code of a marked word
 WORDS_CACHED = 300_000
+LITERAL = 1 << 50  # sets hashes of literal windows apart
 STRETCH = 16_384  # windows read at a time, as a window has up to 2**WINDOW readings
 SPREAD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
@@ -53,30 +56,42 @@ def _part(codes: np.ndarray) -> np.ndarray:
     return codes ^ (codes >> np.uint64(7))
 
 
+def _literal(token: str) -> int:
+    return zlib.crc32(token.lstrip(MARK).lower().encode("utf-8", "surrogatepass")) * 2 + 64
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) | np.uint64(1)
+
+
+class _Known(dict):
+    """Codes of tokens, made when they are first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        if token[0].isdigit():
+            code = NUMBER
+        elif token[0].isupper():
+            code = NAME
+        else:  # the low bit marks what is a unit after a number
+            marked = token[0] == MARK
+            code = _literal(token) + (token[marked:].lower() in UNITS) + INITIAL * marked
+        self[token] = code
+        return code
+
+
 class Templates:
     """Template codes and window hashes of texts."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def _code(self, token: str) -> int:
-        if token[0].isdigit():
-            return NUMBER
-        if token[0].isupper():
-            return NAME
-        word = token.lstrip(MARK).lower()
-        code = zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2 + 64 + (INITIAL if token[0] == MARK else 0)
-        return code + 1 if word in UNITS else code  # the low bit marks what is a unit after a number
+        self.known = _Known()
 
     def codes(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Tokens, their codes, and which of them begin a sentence with a capital, so that they may be names."""
         tokens, known = TOKEN.findall(SENTENCE.sub(_mark, text.replace(MARK, "\1"))) if text else [], self.known
         if len(known) > WORDS_CACHED:
             known.clear()
-        for t in tokens:
-            if t not in known:
-                known[t] = self._code(t)
-        codes = np.fromiter((known[t] for t in tokens), dtype=np.uint64, count=len(tokens))
+        codes = np.array(list(map(known.__getitem__, tokens)), dtype=np.uint64)
         initial = codes >= INITIAL
         codes &= np.uint64(INITIAL - 1)
         after = np.zeros(len(codes), dtype=bool)
@@ -84,11 +99,11 @@ class Templates:
         return tokens, np.where(after & (codes >= 64) & (codes & np.uint64(1) == 1), np.uint64(UNIT), codes), initial
 
     @staticmethod
-    def readings(codes: np.ndarray, initial: np.ndarray, n: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def readings(tokens: list[str], codes: np.ndarray, initial: np.ndarray, n: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places, hashes, names) of the readings of windows of n codes, some windows at a time.
 
-        Bit k of names is set where token k, which begins a sentence, is read as a name. Left out
-        are readings in which fewer than half the codes are words."""
+        Bit k of names is set where token k, which begins a sentence, is read as a name. Where fewer
+        than half the codes of a reading are words, the literal tokens are hashed and names is -1."""
         for start in range(0, len(codes) - n + 1 if n else 0, STRETCH):
             size = min(STRETCH, len(codes) - n + 1 - start)
             part, word = _part(codes[start : start + size + n - 1]), codes[start : start + size + n - 1] >= 64
@@ -110,13 +125,23 @@ class Templates:
                         c, d = np.concatenate([c, c[pick] - less[x]]), np.concatenate([d, d[pick] | (1 << k)])
                 at, h = np.concatenate([at, a[len(more) :]]), np.concatenate([h, b[len(more) :]])
                 words, names = np.concatenate([words, c[len(more) :]]), np.concatenate([names, d[len(more) :]])
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
             good = words * 2 >= n
-            yield at[good] + start, h[good], names[good]
+            if good.all():
+                yield at + start, _mixed(h), names
+                continue
+            bare = np.unique(at[~good])
+            used = np.unique(bare[:, None] + np.arange(n))
+            part = np.zeros(size + n - 1, dtype=np.uint64)
+            part[used] = _part(np.array([_literal(tokens[start + i]) for i in used.tolist()], dtype=np.uint64))
+            literal = np.full(len(bare), LITERAL + n, dtype=np.uint64)
+            for k in range(n):
+                literal += part[bare + k] * SPREAD[k]
+            places, found = np.concatenate([at[good], bare]), np.concatenate([h[good], literal])
+            yield places + start, _mixed(found), np.concatenate([names[good], np.full(len(bare), -1, dtype=np.int32)])
 
     @staticmethod
     def slots(codes: np.ndarray, at: int, n: int, names: int) -> list[int]:
+        """Places of what isn't a plain word in a reading; all of a literal window."""
         return [i for i in range(at, at + n) if codes[i] < 64 or names >> (i - at) & 1]
 
 
@@ -144,17 +169,17 @@ def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens, codes, initial = make.codes(t)
             n = min(len(codes), WINDOW)
-            found = list(make.readings(codes, initial, n))
-            windows = len(np.unique(np.concatenate([at for at, *_ in found]))) if found else 0
+            found = list(make.readings(tokens, codes, initial, n))
+            worded = {place for at, _, names in found for place in at[names >= 0].tolist()}
             for part in found:
                 for row in _rows(k, tokens, codes, n, *part):
-                    yield *row, windows
+                    yield *row, len(codes) - n + 1, len(worded), row[3] in worded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _batches(rows(b), ["k", "h", "n", "pos", "places", "slots", "windows"], [b.schema.field(0).type, *KINDS, pa.int32()])
+            yield from _batches(rows(b), ["k", "h", "n", "pos", "places", "slots", "windows", "worded", "has_words"], [b.schema.field(0).type, *KINDS, pa.int32(), pa.int32(), pa.bool_()])
 
-    return items.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"k {kind}, {COLUMNS}, windows int")
+    return items.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"k {kind}, {COLUMNS}, windows int, worded int, has_words boolean")
 
 
 def consistent(hits: list[dict]) -> list[dict]:
@@ -172,7 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
     """(row, item, windows, matched, first_pos): the pairs found, by the document's row number.
 
     Null, empty and too short texts match nothing; an item without words matches
-    nothing. Texts of any length are read whole. Repeated items, rows or windows
+    its exact copies only, however short it is. windows and matched count all places of
+    the item, whether they have a template or not. Texts of any length are read whole. Repeated items, rows or windows
     are judged each for itself. Empty tables give no pairs."""
     spark = docs.sparkSession
     windows = item_windows(items, item_text, item_key).persist()
@@ -187,7 +213,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens, codes, initial = make.codes(t)
             for n, table in tables.items():
-                for at, h, names in make.readings(codes, initial, n):
+                for at, h, names in make.readings(tokens, codes, initial, n):
                     keep = table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
                     yield from _rows(k, tokens, codes, n, at[keep], h[keep], names[keep])
 
@@ -199,22 +225,30 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
     hits = docs.select(F.col(f"`{row}`"), F.col(f"`{text}`")).mapInArrow(run, f"k long, {COLUMNS}").drop("places")
     d, i = hits.alias("d"), windows.alias("i")
     pairs = d.join(i, (F.col("d.h") == F.col("i.h")) & (F.col("d.n") == F.col("i.n")) & (F.size("d.slots") == F.size("i.slots"))).select(
-        F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.pos").alias("pos"),
+        F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.worded").alias("worded"), F.col("i.pos").alias("pos"), F.col("i.has_words").alias("has_words"),
         F.arrays_zip(F.col("i.places").alias("p"), F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
     )
-    lines = pairs.groupBy("row", "item", "diagonal").agg(F.first("windows").alias("windows"), F.collect_set(F.struct("pos", "slots")).alias("hits"))
+    lines = pairs.groupBy("row", "item", "diagonal").agg(
+        F.first("windows").alias("windows"), F.first("worded").alias("worded"), F.collect_set(F.struct("pos", "has_words", "slots")).alias("hits")
+    )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [sorted({hit["pos"] for hit in consistent(hits.as_py())}) for hits in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(places, pa.list_(pa.int32()))], names=["row", "item", "diagonal", "windows", "places"])
+            found = [consistent(hits.as_py()) for hits in b.column(5)]
+            places = [sorted({hit["pos"] for hit in hits}) for hits in found]
+            templates = [sorted({hit["pos"] for hit in hits if hit["has_words"]}) for hits in found]
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(places, kinds), pa.array(templates, kinds)], names=["row", "item", "diagonal", "windows", "worded", "places", "templates"])
 
     kind = dict(items.dtypes)[item_key]
-    judged = lines.select("row", "item", "diagonal", "windows", "hits").mapInArrow(judge, f"row long, item {kind}, diagonal int, windows int, places array<int>")
+    judged = lines.select("row", "item", "diagonal", "windows", "worded", "hits").mapInArrow(judge, f"row long, item {kind}, diagonal int, windows int, worded int, places array<int>, templates array<int>")
+    together = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     best = judged.where(F.size("places") > 0).groupBy("row", "item").agg(
-        F.first("windows").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.min(F.col("diagonal") + F.col("places")[0]).alias("first_pos")
+        F.first("windows").alias("windows"), F.first("worded").alias("worded"), together("places").alias("matched"), together("templates").alias("templates"),
+        F.min(F.col("diagonal") + F.col("places")[0]).alias("first_pos"),
     )
-    return best.where(F.col("matched") >= F.col("windows") * min_coverage)
+    enough = (F.col("matched") >= F.col("windows") * min_coverage) | ((F.col("worded") > 0) & (F.col("templates") >= F.col("worded") * min_coverage))
+    return best.where(enough).select("row", "item", "windows", "matched", "first_pos")
 
 
 def report(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:

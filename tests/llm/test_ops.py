@@ -98,6 +98,17 @@ def test_decontamination_by_windows(spark):
     assert whole["matched"] == whole["windows"] and whole["first_pos"] == 1
 
 
+def test_decontamination_of_items_without_words(spark):
+    items = ["12 + 7 = 19, 30 + 4 = 34, 8 x 9 = 72", "ALL CAPS TITLES ARE NAMES TO THIS TEMPLATE TOO", "Ada Lovelace 1815, Alan Turing 1912, Grace Hopper 1906", "77 88",
+             "then we add the number 5 and 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    texts = [(i, f"{words(i, 30)}: see {t} {words(i + 50, 30)}") for i, t in enumerate(items, 1)]
+    texts += [(10, "12 + 8 = 20, 31 + 4 = 35, 8 x 8 = 64"), (11, "77 89"), (12, "OTHER CAPS WORDS THAT ARE NOT IN ANY OF THE ITEMS"), (13, "then we add the number 6 and 9 9 1")]
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.report(docs(spark, texts), bench).collect()}
+    assert set(out) == {(i, i) for i in range(1, 6)} | {(13, 5)}  # the last by its templates alone
+    assert all(out[i, i]["matched"] == out[i, i]["windows"] for i in range(1, 6))
+
+
 # --- 3 ---
 
 
