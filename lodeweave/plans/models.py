@@ -60,7 +60,7 @@ def dense_classifier(spark, d):
 
 @query()
 def text_classifier(spark, d):
-    x = table(spark, d, "conversations").where("role <> 'system'").select(F.substring("text", 1, 300).alias("text"), (F.col("role") == "user").cast("int").alias("label"))
+    x = table(spark, d, "conversations").where("role <> 'system'").select("text", (F.col("role") == "user").cast("int").alias("label"))
     features = ml.text_pipeline("text", 300, 200).fit(x).transform(x)
     model = ml.CLASSIFIERS["logistic"](maxIter=5).setLabelCol("label").fit(features)
     out = model.transform(features).withColumn("p", F.col("prediction").cast("int"))

@@ -197,3 +197,13 @@ def test_readers(spark, tmp_path):
     for bad in ("../x.txt", "/etc/x.txt", "a.exe"):
         with pytest.raises(ValueError):
             readers.checked_path(bad, "/root/x", {"txt"})
+
+
+def test_text_classifier_reads_whole_texts(spark, tmp_path):
+    from lodeweave.plans.models import text_classifier
+
+    same = "the same long opening of every turn " * 10  # over 300 characters
+    rows = [(i, 0, role, same + word) for i in range(20) for role, word in (("user", "question please"), ("assistant", "answer given"), ("system", "rules"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r["class"]: r for r in text_classifier(spark, str(tmp_path)).collect()}
+    assert out["weighted avg"]["f1"] == 1 and out["weighted avg"]["support"] == 40
