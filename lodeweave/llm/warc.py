@@ -1,10 +1,9 @@
-"""WARC writing and reading through a chunked record table.
+"""WARC writing and reading through a record table.
 
-A record is a run of rows (record number, chunk number, bytes-bounded text): a
-payload over ``chunk_chars`` becomes a first segment and `continuation`
-segments, as WARC/1.0 defines them, so no row, writer or reader ever holds a
-whole oversized record besides the input row itself. The rows of one record are
-exploded in order within one task and written by Spark's text sink, whose line
+A record is a row (record number, text): a payload over ``chunk_chars`` becomes
+a first segment and `continuation` segments, as WARC/1.0 defines them, one after
+the other in the record's row, so that no archive can end between them. The rows
+are written by Spark's text sink, whose line
 separator is the two empty lines that end a WARC record: each output file is a
 WARC archive (gzip by default), committed by Spark's own protocol, in a folder
 that only Spark need reach. Reading streams each archive block by block and
@@ -50,7 +49,7 @@ def mark_revisits(pages: DataFrame, key: str, digest: str = "digest", size: str
 
 
 def records(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The record table: (rid, chunk, chunks, record) with WARC text per chunk, chunks of a record adjacent.
+    """The record table: (rid, chunks, record) with the WARC text of all segments of a record.
 
     Null payloads are empty, null urls '-'. Equal payloads of at least min_bytes
     bytes: the smallest key's record is the response, the others' are revisits
@@ -62,28 +61,32 @@ def records(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int =
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, "").otherwise(F.col("p"))
     chunks = F.greatest(F.lit(1), F.ceil(F.length(body) / chunk_chars)).cast("int")
-    rows = base.withColumn("body", body).withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = F.substring(F.col("body"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars))
+    rows = base.withColumn("body", body).withColumn("chunks", chunks)
     name = lambda k, n: F.concat(F.lit("<urn:x-page:"), F.coalesce(k.cast("string"), F.lit("")), F.lit(":"), n.cast("string"), F.lit(">"))
     line = lambda head, value: F.concat(F.lit(f"\r\n{head}: "), value.cast("string"))
-    kind = F.when(F.col("chunk") > 0, "continuation").when(revisit, "revisit").otherwise("response")
     none = F.lit("")
-    record = F.concat(
-        F.lit("WARC/1.0"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("k"), F.concat_ws(".", "__rid", "chunk"))),
-        line("WARC-Target-URI", F.regexp_replace("u", r"[\r\n]", " ")), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        line("X-Page-Id", F.coalesce(F.col("k").cast("string"), none)),
-        F.when(F.col("chunk") == 0, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))).otherwise(none),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("refers_to").cast("string"), F.lit(">"))), line("X-Payload-Bytes", F.col("size")))).otherwise(none),
-        F.when(F.col("chunks") > 1, line("WARC-Segment-Number", F.col("chunk") + 1)).otherwise(none),
-        F.when(F.col("chunk") > 0, line("WARC-Segment-Origin-ID", name(F.col("k"), F.concat_ws(".", "__rid", F.lit("0"))))).otherwise(none),
-        F.when((F.col("chunks") > 1) & (F.col("chunk") == F.col("chunks") - 1), line("WARC-Segment-Total-Length", F.col("size"))).otherwise(none),
-        line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(part)), F.lit(END), part,
-    )
-    return rows.select(F.col("__rid").alias("rid"), "chunk", "chunks", record.alias("record"))
+
+    def segment(chunk: Column) -> Column:
+        part = F.substring(F.col("body"), chunk * chunk_chars + 1, F.lit(chunk_chars))
+        kind = F.when(chunk > 0, "continuation").when(revisit, "revisit").otherwise("response")
+        return F.concat(
+            F.lit("WARC/1.0"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("k"), F.concat_ws(".", "__rid", chunk.cast("string")))),
+            line("WARC-Target-URI", F.regexp_replace("u", r"[\r\n]", " ")), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+            line("X-Page-Id", F.coalesce(F.col("k").cast("string"), none)),
+            F.when(chunk == 0, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))).otherwise(none),
+            F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("refers_to").cast("string"), F.lit(">"))), line("X-Payload-Bytes", F.col("size")))).otherwise(none),
+            F.when(F.col("chunks") > 1, line("WARC-Segment-Number", chunk + 1)).otherwise(none),
+            F.when(chunk > 0, line("WARC-Segment-Origin-ID", name(F.col("k"), F.concat_ws(".", "__rid", F.lit("0"))))).otherwise(none),
+            F.when((F.col("chunks") > 1) & (chunk == F.col("chunks") - 1), line("WARC-Segment-Total-Length", F.col("size"))).otherwise(none),
+            line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(part)), F.lit(END), part,
+        )
+
+    record = F.array_join(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), segment), END)
+    return rows.select(F.col("__rid").alias("rid"), "chunks", record.alias("record"))
 
 
 def write(record_table: DataFrame, path: str, compression: str = "gzip", per_archive: int = ARCHIVE_RECORDS) -> None:
-    """Archives of at most per_archive chunk rows each. The table's row order is kept: no shuffle."""
+    """Archives of at most per_archive records each, never ending between segments of one. The table's row order is kept: no shuffle."""
     record_table.select("record").write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_archive).text(path)
 
 

@@ -233,6 +233,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(h["WARC-Type"] == "continuation" for h, _ in records) == 2 and all(len(c) <= 4 * warc.CHUNK_CHARS for _, c in records)
 
 
+def test_warc_archives_end_between_records(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "é" * n) for i, n in enumerate([10, 95, 3, 250, 100, 0])]
+    x = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.records(x, "page_id", "url", "html", chunk_chars=30), str(tmp_path / "w"), per_archive=2)
+    assert len(list((tmp_path / "w").glob("part-*"))) == 3
+    out = {r["page_id"]: r["payload_bytes"] for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert out == {i: len(html.encode()) for i, _, html in rows}
+
+
 # --- 8 ---
 
 
