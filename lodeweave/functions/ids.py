@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGEST_BYTES = 8 * 1024 * 1024
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "lodeweave:chunk")
 
 
-def digest(content: Column, limit: int | None = DIGEST_BYTES) -> Column:
+def digest(content: Column, limit: int | None = None) -> Column:
     """SHA-256 of the first limit bytes (of text: characters); None takes all of it."""
     return F.sha2(F.substring(content, 1, limit) if limit else content, 256)
 

@@ -207,3 +207,11 @@ def test_text_classifier_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     out = {r["class"]: r for r in text_classifier(spark, str(tmp_path)).collect()}
     assert out["weighted avg"]["f1"] == 1 and out["weighted avg"]["support"] == 40
+
+
+def test_digest_covers_the_whole_text(spark):
+    from lodeweave.functions import ids
+
+    long = F.repeat(F.lit("x"), 8 * 1024 * 1024)
+    row = spark.range(1).select(ids.digest(F.concat(long, F.lit("a"))).alias("a"), ids.digest(F.concat(long, F.lit("b"))).alias("b")).first()
+    assert row["a"] != row["b"]
