@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import stash
+from lodeweave.llm.common import discard, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "id").select("id", F.least("label", "m").alias("up"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("up"), F.col("label").alias("top"))
         made = stash(lower.join(jump, "up", "left").select("id", F.least("up", F.coalesce("top", "up")).alias("label"), "was"), "labels")
+        done = made.where("label <> was").isEmpty()
+        discard(labels, *([both] if done else []))
         labels = made.select("id", "label")
-        if made.where("label <> was").isEmpty():
+        labels._stashed = made._stashed
+        if done:
             return labels

@@ -11,19 +11,19 @@ sparse-by-dense matrix product.
 
 from __future__ import annotations
 
-import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
-GAPS = re.compile(r"[\W\d_]+")
+LETTERS = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), dtype=bool)
 UNKNOWN = "und"
 WINDOW = 1 << 18
 
@@ -31,10 +31,14 @@ WINDOW = 1 << 18
 def presence(text: str | None) -> np.ndarray:
     """Sorted hashed n-grams of the text's lower-cased words; empty if it has no letter."""
     mark = np.zeros(BUCKETS, dtype=bool)
-    if text and LETTER.search(text):
+    if text:
         for at in range(0, len(text), WINDOW):  # windows overlap, so that no n-gram is lost
-            part = " " + GAPS.sub(" ", text[max(0, at - 8) : at + WINDOW + 8].lower()) + " "
-            code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            code = np.frombuffer(text[max(0, at - 8) : at + WINDOW + 8].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            letter = LETTERS[code]
+            if not letter.any():
+                continue
+            code = np.where(letter, code, np.uint32(32))[letter | np.concatenate([[True], letter[:-1]])]  # a gap is one blank
+            code = np.concatenate([[32], code, [32]]).astype(np.uint64)
             h = np.zeros(len(code), dtype=np.uint64)
             for n in range(1, max(NGRAMS) + 1):
                 if len(code) < n:
@@ -50,36 +54,31 @@ def presence(text: str | None) -> np.ndarray:
 class KernelRidge:
     langs: list[str]
     weights: np.ndarray  # BUCKETS x languages
-    bias: np.ndarray | None = None
+    bias: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], landmarks: int = 300, ridge: float = 1e-2) -> KernelRidge:
+    def fit(cls, marked: list[np.ndarray], langs: list[str], landmarks: int = 300, ridge: float = 1e-2) -> KernelRidge:
+        """marked: the presence lists of the texts; only landmarks are held as dense rows."""
         names = sorted(set(langs))
-        kept = [(x, y) for x, y in ((presence(t), y) for t, y in zip(texts, langs, strict=True)) if len(x)]
-        weights = np.zeros((BUCKETS, len(names)), dtype=np.float32)
-        if kept:
-            rows = np.zeros((len(kept), BUCKETS), dtype=np.float32)
-            for i, (x, _) in enumerate(kept):
-                rows[i, x] = 1 / np.sqrt(len(x))
-            chosen = np.linspace(0, len(kept) - 1, min(landmarks, len(kept))).astype(int)
-            marks = rows[np.unique(chosen)]
-            values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-            good = values > 1e-6 * values.max()
-            root = vectors[:, good] / np.sqrt(values[good])
-            z = (rows @ marks.T).astype(np.float64) @ root
-            z1 = np.hstack([z, np.ones((len(z), 1))])
-            y = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in kept])
-            share = np.array([1 / sum(lang == other for _, other in kept) for _, lang in kept])  # languages weigh alike
-            share *= len(kept) / share.sum()
-            gram = (z1 * share[:, None]).T @ z1 + ridge * len(kept) * np.diag([1.0] * z.shape[1] + [1e-6])
-            alpha = np.linalg.solve(gram, (z1 * share[:, None]).T @ y)
-            weights = (marks.T @ (root @ alpha[:-1])).astype(np.float32)
-            cls_bias = alpha[-1].astype(np.float32)
-        else:
-            cls_bias = np.zeros(len(names), dtype=np.float32)
-        made = cls(names, weights)
-        made.bias = cls_bias
-        return made
+        kept = [(x, y) for x, y in zip(marked, langs, strict=True) if len(x)]
+        if not kept:
+            return cls(names, np.zeros((BUCKETS, len(names)), dtype=np.float32), np.zeros(len(names), dtype=np.float32))
+        chosen = np.unique(np.linspace(0, len(kept) - 1, min(landmarks, len(kept))).astype(int))
+        marks = np.zeros((BUCKETS, len(chosen)), dtype=np.float32)
+        for j, i in enumerate(chosen.tolist()):
+            marks[kept[i][0], j] = 1 / np.sqrt(len(kept[i][0]))
+        kernel = np.array([marks[x].sum(axis=0, dtype=np.float64) / np.sqrt(len(x)) for x, _ in kept])  # texts x landmarks
+        values, vectors = np.linalg.eigh(kernel[chosen])
+        good = values > 1e-6 * values.max()
+        root = vectors[:, good] / np.sqrt(values[good])
+        z1 = np.hstack([kernel @ root, np.ones((len(kept), 1))])
+        y = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in kept])
+        counts = Counter(lang for _, lang in kept)
+        share = np.array([1 / counts[lang] for _, lang in kept])  # languages weigh alike
+        share *= len(kept) / share.sum()
+        gram = (z1 * share[:, None]).T @ z1 + ridge * len(kept) * np.diag([1.0] * (z1.shape[1] - 1) + [1e-6])
+        alpha = np.linalg.solve(gram, (z1 * share[:, None]).T @ y)
+        return cls(names, (marks @ (root @ alpha[:-1]).astype(np.float32)).astype(np.float32), alpha[-1].astype(np.float32))
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) margins, and which texts have letters."""
@@ -97,7 +96,9 @@ class KernelRidge:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 1000, landmarks: int = 300, max_chars: int = 200_000) -> KernelRidge:
     """Learn from at most max_rows labelled rows: the first by a hash of the text, equally many a language.
 
-    Rows longer than max_chars don't teach; every row is scored whole all the same."""
+    Their texts are hashed on the executors; the driver gets lists of at most BUCKETS
+    small numbers. Rows longer than max_chars don't teach; every row is scored whole
+    all the same."""
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where(f"l is not null and t is not null and length(t) <= {max_chars}")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
     each = max(1, max_rows // max(1, len(counts)))
@@ -106,9 +107,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: i
         share = F.when(F.col("l") == name, min(1_000_000, 2_000_000 * each // n + 1)).otherwise(share)
     drawn = rows.withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(1_000_000)) < share)
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    got = [(r["h"], r["t"], r["l"]) for r in drawn.withColumn("nth", nth).where(F.col("nth") <= each).collect()]
-    got.sort()
-    return KernelRidge.fit([t for _, t, _ in got], [n for _, _, n in got], landmarks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [presence(t).astype("<u2").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.binary())], names=["h", "l", "marks"])
+
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= each).select("h", "l", "t").mapInArrow(run, "h long, l string, marks binary")
+    got = sorted((r["h"], bytes(r["marks"]), r["l"]) for r in sample.collect())  # max_rows lists
+    return KernelRidge.fit([np.frombuffer(m, "<u2").astype(np.int64) for _, m, _ in got], [n for _, _, n in got], landmarks)
 
 
 def predict(docs: DataFrame, model: KernelRidge, text: str = "text", pred: str = "lang_pred", score: str = "score", batch: int = 256) -> DataFrame:
@@ -120,8 +127,6 @@ def predict(docs: DataFrame, model: KernelRidge, text: str = "text", pred: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages: a fixed size
     kept = [c for c in docs.columns if c not in (pred, score)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for rows in batches:

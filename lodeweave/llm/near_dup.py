@@ -302,6 +302,7 @@ class NearDuplicates:
         """(id, label): representatives that have links, and the smallest representative of their component."""
         verified = self.first_links()
         labels = components(verified)
+        spent = []
         rows = self.rows.where("rep <> center").select("key", "band", "rep", "n")  # a centre is finished in its bucket
         data, search, nth = None, True, 0
         while True:
@@ -309,8 +310,9 @@ class NearDuplicates:
             named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("label", "rep").alias("comp"))
             open_keys = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
             rows = stash(named.join(open_keys, "key"), "open-buckets")
+            spent.append(rows)
             if rows.isEmpty():
-                return labels
+                break
             if data is None:
                 reps = rows.select("rep").distinct()
                 texts = self.texts.join(reps.withColumnRenamed("rep", "__rid"), "__rid", "left_semi")
@@ -320,13 +322,16 @@ class NearDuplicates:
             discard(full)
             found = more.count()
             if found:
+                spent += [verified, more, labels]
                 verified = stash(verified.union(more), "links-so-far")
                 labels = components(verified)
             if not search:
-                return labels
+                break
             rows = rows.where(f"size > {SMALL}").select("key", "band", "rep", "n", "comp")
             search = nth < SEARCHES and 4 * found > rows.agg(F.count_distinct("comp")).first()[0]
             rows = rows.drop("comp")
+        discard(*spent, verified, self.rows, self.texts, *([data] if data is not None else []))
+        return labels
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
