@@ -12,22 +12,29 @@ array needs only suffixes at anchors, and finds the same bytes:
    counted before any text moves: they are repeated whole, and only one
    representative of a class travels, and only to meet different runs.
 3. Representatives are range-partitioned by their leading token with sampled
-   splitters and sorted. Equal tokens never straddle a splitter, so groups are
-   whole and no comparison across buckets is left over. A bucket sorts the windows
-   by further tokens, one token column at a time among ties (multikey quicksort's
-   order, on fingerprints); neighbours that tie throughout are repeated.
+   splitters. A bucket sorts its suffixes, the windows of its runs, by multikey
+   quicksort over packed tokens: ties of one token column go on to the next, whose
+   tokens are made for them alone. Neighbours whose common prefix is the whole
+   window are repeated. Equal leading tokens never straddle these splitters.
 4. A leading token with more than ``hot`` different runs would make one bucket
    grow. Its runs are cut into parts by offset; parts that share all bytes, or
    whose common core occurs once, are settled by counting, and only the windows of
-   the other parts become rows, counted by fingerprint: partial sums meet any skew.
-5. Repeated windows become byte intervals, gathered per document.
+   the other parts become rows. These suffixes are range-partitioned too, by all
+   tokens and their run, so that the splitters cut through equal ones as well:
+   neighbours are compared within a bucket, and the first and last suffix of each
+   bucket with those of the others.
+5. Repeated windows are merged into runs and gathered as byte intervals per document.
+
+A text over BLOCK_BYTES is read in blocks that overlap by a window.
 
 Fingerprints have 64 bits (128 where rows are counted by key), over bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,11 +43,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import discard, stash, with_row_id
+from lodeweave.llm.common import discard, join_counted, stash, with_row_id
 
 LENGTH = 400
 HOT = 2048
 BATCH_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 22
+TOKENS = 4  # packed tokens of a window, after the leading one
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 MIX1, MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
@@ -122,19 +131,22 @@ def anchor_rows(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
 
-        def flush(rids, parts):
+        def flush(rids, parts, base=0):
             ends = np.cumsum([len(p) for p in parts])
             start, left, windows, token, around = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, gram, powers)
             k = np.searchsorted(ends, start, side="right")
-            start = start - np.concatenate([[0], ends[:-1]])[k]
+            start = start - np.concatenate([[0], ends[:-1]])[k] + base
             columns = [np.asarray(rids, np.int64)[k], start.astype(np.int32), left.astype(np.int32), windows.astype(np.int32), token.view(np.int64), around.view(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PLACES.split(", ")])
 
         for b in batches:
             rids, parts, size = [], [], 0
             for rid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = t.as_buffer().to_pybytes() if t.is_valid else b""
-                if len(data) >= length:
+                data = memoryview(t.as_buffer()) if t.is_valid else b""
+                if len(data) > BLOCK_BYTES:
+                    for at in range(0, len(data) - length + 1, BLOCK_BYTES):
+                        yield flush([rid], [data[at : at + BLOCK_BYTES + length - 1]], at)
+                elif len(data) >= length:
                     rids.append(rid)
                     parts.append(data)
                     size += len(data)
@@ -147,10 +159,30 @@ def anchor_rows(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame
     return docs.select("__rid", F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, PLACES)
 
 
-def _sets(good: np.ndarray, lo: int) -> tuple[list[int], list[int]]:
+def _runs(good: np.ndarray) -> tuple[list[int], list[int]]:
     """Runs of a boolean array as (first, last) offsets."""
     edge = np.diff(np.concatenate([[0], good.astype(np.int8), [0]]))
-    return (np.flatnonzero(edge == 1) + lo).tolist(), (np.flatnonzero(edge == -1) - 1 + lo).tolist()
+    return np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()
+
+
+def multikey_ties(lead: np.ndarray, column, depth: int) -> np.ndarray:
+    """Rows whose leading token and depth further tokens all equal those of a neighbour in sorted order.
+
+    column(d, rows) makes token d of the rows that are still tied. A stretch of ties
+    is ordered by its next token before the one after that is looked at, as in
+    multikey quicksort; all stretches of a depth are ordered at once."""
+    rows = np.argsort(lead, kind="stable")
+    edge = np.concatenate([[True], lead[rows[1:]] != lead[rows[:-1]]]) if len(rows) else np.zeros(0, bool)
+    for d in range(depth + 1):
+        alone = edge & np.concatenate([edge[1:], [True]]) if len(edge) else edge
+        rows, stretch = rows[~alone], np.cumsum(edge)[~alone]
+        if d == depth or not len(rows):
+            return rows
+        token = column(d, rows)
+        order = np.lexsort((token, stretch))
+        rows, stretch, token = rows[order], stretch[order], token[order]
+        edge = np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (token[1:] != token[:-1])])
+    return rows
 
 
 def window_tokens(text: bytes, windows: int, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -161,36 +193,21 @@ def window_tokens(text: bytes, windows: int, length: int, powers: Powers) -> tup
     return span(sums, powers, start, half), span(sums, powers, half, start + length)
 
 
-def repeated_in_bucket(rows: list[tuple[int, int, int, int, bytes]], length: int, powers: Powers) -> list[tuple[list[int], list[int]]]:
-    """For (leading token, left, windows, places, text) rows: which windows another row of the token has at the same offset."""
-    firsts, seconds = [], []
-    for token, left, windows, _, text in rows:
-        a, b = window_tokens(text, windows, length, powers)
-        offset = (left - np.arange(windows)).astype(np.uint64)
-        firsts.append(a ^ mixed(np.uint64(token & 0xFFFFFFFFFFFFFFFF) + offset * MIX1))  # token column 0: leading token, offset, first half
-        seconds.append(b)
-    first, second = np.concatenate(firsts), np.concatenate(seconds)
-    good = np.zeros(len(first), dtype=bool)
-    order = np.argsort(first)
-    order = order[_tied(first[order])]  # only ties go on to the next token
-    order = order[np.lexsort((second[order], first[order]))]
-    good[order[_tied(second[order], first[order])]] = True
-    out, at = [], 0
-    for _, _, windows, _, _ in rows:
-        out.append(_sets(good[at : at + windows], 0))
-        at += windows
-    return out
-
-
-def _tied(*columns: np.ndarray) -> np.ndarray:
-    n = len(columns[0])
-    equal = np.ones(max(0, n - 1), dtype=bool)
-    for c in columns:
-        equal &= c[1:] == c[:-1]
-    out = np.zeros(n, dtype=bool)
-    out[1:] |= equal
-    out[:-1] |= equal
-    return out
+def repeated_in_bucket(rows: list[tuple[int, int, int, bytes]], length: int, powers: Powers) -> list[tuple[list[int], list[int]]]:
+    """For (leading token, left, windows, text) rows: runs of the windows that another row of the token has at the same offset."""
+    token, left, windows, texts = zip(*rows, strict=True)
+    sums = prefix(np.frombuffer(b"".join(texts), np.uint8), powers)
+    windows = np.array(windows)
+    until = np.cumsum(windows)
+    row = np.repeat(np.arange(len(rows)), windows)
+    nth = np.arange(until[-1]) - (until - windows)[row]
+    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])[row] + nth
+    offset = (np.array(left)[row] - nth).astype(np.uint64)
+    lead = mixed(np.array(token, dtype=np.int64).view(np.uint64)[row] + offset * MIX1)
+    cuts = np.linspace(0, length, TOKENS + 1).astype(int)
+    good = np.zeros(len(start), dtype=bool)
+    good[multikey_ties(lead, lambda d, r: span(sums, powers, start[r] + cuts[d], start[r] + cuts[d + 1]), TOKENS)] = True
+    return [_runs(part) for part in np.split(good, until[:-1])]
 
 
 FOUND = "token long, around long, first array<int>, last array<int>"
@@ -255,7 +272,7 @@ def _bucket(length: int):
         powers, held = Powers(), []
 
         def flush(rows):
-            sets = repeated_in_bucket([(t, left, w, n, text) for t, _, left, w, n, text in rows], length, powers)
+            sets = repeated_in_bucket([(t, left, w, text) for t, _, left, w, n, text in rows], length, powers)
             found = [(r[0], r[1], *s) for r, s in zip(rows, sets, strict=True) if r[4] == 1 and s[0]]
             return [_found(found)] if found else []
 
@@ -273,7 +290,7 @@ def _bucket(length: int):
     return run
 
 
-PARTS = "token long, around long, part int, lo int, hi int, core long, whole long"
+PARTS = "token long, around long, n long, part int, lo int, hi int, core long, whole long"
 
 
 def _parts(length: int, width: int):
@@ -285,7 +302,7 @@ def _parts(length: int, width: int):
         powers = Powers()
         for b in batches:
             out = []
-            for token, around, left, w, text in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "left", "windows", "text")), strict=True):
+            for token, around, n, left, w, text in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "n", "left", "windows", "text")), strict=True):
                 sums = prefix(np.frombuffer(text, np.uint8), powers)
                 part = np.arange((left - w + 1) // width, left // width + 1)
                 lo = np.maximum(0, left - (part * width + width - 1))  # windows count from the run's start, offsets down from left
@@ -293,16 +310,17 @@ def _parts(length: int, width: int):
                 core_lo, core_hi = left - part * width, left - (part * width + width - 1) + length
                 core = span(sums, powers, core_lo, core_hi)
                 whole = span(sums, powers, lo, hi + length) ^ mixed(((left - lo) * 1_048_576 + hi - lo).astype(np.uint64))
-                out.append((np.full(len(part), token), np.full(len(part), around), part, lo, hi, core.view(np.int64), whole.view(np.int64)))
+                out.append((np.full(len(part), token), np.full(len(part), around), np.full(len(part), n), part, lo, hi, core.view(np.int64), whole.view(np.int64)))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64]
+                kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
     return run
 
 
-WINDOWS = "token long, around long, i int, o int, x long, y long"
+WINDOWS = "token long, around long, n long, i int, o int, x long, y long"
+NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
 
 
 def _window_rows(length: int):
@@ -311,29 +329,86 @@ def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            for token, around, left, w, text, parts in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "left", "windows", "text", "parts")), strict=True):
+            for token, around, n, left, w, text, parts in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("token", "around", "n", "left", "windows", "text", "parts")), strict=True):
                 x, y = window_tokens(text, w, length, powers)
                 i = np.unique(np.concatenate([np.arange(p["lo"], p["hi"] + 1, dtype=np.int32) for p in parts]))
-                columns = [np.full(len(i), token), np.full(len(i), around), i, (left - i).astype(np.int32), x[i].view(np.int64), y[i].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in WINDOWS.split(", ")])
+                columns = [np.full(len(i), token), np.full(len(i), around), np.full(len(i), n), i, (left - i).astype(np.int32), x[i].view(np.int64), y[i].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NAMES)
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted WINDOWS rows of a bucket: the same rows with tied (a neighbour is equal) and edge (first or last of the bucket)."""
+
+    def marked(columns, before, after, first, last):
+        n = len(columns[0])
+        key = np.stack([columns[NAMES.index(c)] for c in ("token", "o", "x", "y")])
+        equal = (key[:, 1:] == key[:, :-1]).all(axis=0)
+        tied = np.concatenate([[before], equal]) | np.concatenate([equal, [after]])
+        edge = np.zeros(n, bool)
+        edge[0] |= first
+        edge[-1] |= last
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tied), pa.array(edge)], names=[*NAMES, "tied", "edge"])
+
+    held, before, first = None, False, True  # the last row so far, whether it equals the one before it, whether it is the bucket's first
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(b.schema.names.index(c)).to_numpy() for c in NAMES]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+        same = len(columns[0]) > 1 and all(columns[NAMES.index(c)][-1] == columns[NAMES.index(c)][-2] for c in ("token", "o", "x", "y"))
+        if len(columns[0]) > 1:
+            yield marked([c[:-1] for c in columns], before, same, first, False)
+            before, first = same, False
+        held = [c[-1:] for c in columns]
+    if held is not None:
+        yield marked(held, before, False, first, True)
+
+
+def _again(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The WINDOWS rows that another row equals in token, offset and text; and what they are read from."""
+    names = windows.columns
+    windows = stash(windows, "windows")  # sampling the splitters reads them twice
+    dealt = windows.repartitionByRange("token", "o", "x", "y", "around").sortWithinPartitions("token", "o", "x", "y", "around")
+    made = stash(dealt.mapInArrow(_neighbours, f"{WINDOWS}, tied boolean, edge boolean").where("tied or edge"), "neighbours")
+    discard(windows)
+    edges = made.where("edge")  # two rows a bucket
+    across = edges.groupBy("token", "o", "x", "y").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    return made.where("tied").select(*names).union(edges.where("not tied").join(F.broadcast(across), ["token", "o", "x", "y"], "left_semi").select(*names)), made
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (token, around, pieces: array of structs lo, hi): FOUND rows, neighbouring pieces merged."""
+    for b in batches:
+        out = []
+        for token, around, pieces in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            good = np.zeros(max(p["hi"] for p in pieces) + 1, dtype=bool)
+            for p in pieces:
+                good[p["lo"] : p["hi"] + 1] = True
+            out.append((token, around, *_runs(good)))
+        if out:
+            yield _found(out)
+
+
 def _hot_found(rows: DataFrame, length: int, width: int) -> DataFrame:
     """FOUND rows of hot tokens: parts of runs first, windows only where a part's core is shared and its bytes are not."""
     parts = stash(rows.mapInArrow(_parts(length, width), PARTS), "parts")
-    cores = parts.groupBy("token", "part", "core").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    wholes = parts.groupBy("token", "part", "whole").agg(F.count("*").alias("c"), F.min("around").alias("one")).where("c > 1").drop("c")
-    shared = parts.join(cores, ["token", "part", "core"], "left_semi").join(wholes, ["token", "part", "whole"], "left")
-    shared = stash(shared.select("token", "around", "lo", "hi", "one"), "shared-parts")
-    same = shared.where("one is not null").select("token", "around", F.array("lo").alias("first"), F.array("hi").alias("last"))
-    looked = shared.where("one is null or one = around").groupBy("token", "around").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # a few parts a run
+    cores = parts.groupBy("token", "part", "core").agg(F.count("*").alias("c")).where("c > 1")
+    cored = stash(join_counted(parts, cores, ["token", "part", "core"], "c"), "shared-cores")
+    wholes = cored.groupBy("token", "part", "whole").agg(F.count("*").alias("c"), F.min("around").alias("one"))
+    shared = stash(join_counted(cored, wholes.withColumn("alone", F.col("c") == 1), ["token", "part", "whole"], "c"), "shared-parts")
+    discard(parts, cored)
+    same = shared.where("not alone and n = 1").select("token", "around", "lo", "hi")
+    looked = shared.where("alone or one = around").groupBy("token", "around").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # a few parts a run
     windows = rows.join(looked, ["token", "around"]).mapInArrow(_window_rows(length), WINDOWS)
-    windows = stash(windows, "windows")
-    counted = windows.groupBy("token", "o", "x", "y").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    again = windows.join(counted, ["token", "o", "x", "y"], "left_semi").groupBy("token", "around").agg(F.array_sort(F.collect_list("i")).alias("first"))  # a run's windows at most
-    return same.union(again.select("token", "around", "first", F.col("first").alias("last")))
+    again, made = _again(windows)
+    pieces = same.union(again.where("n = 1").select("token", "around", F.col("i").alias("lo"), F.col("i").alias("hi")))
+    lists = pieces.groupBy("token", "around").agg(F.collect_list(F.struct("lo", "hi")).alias("pieces"))  # a run's windows and parts at most
+    found = stash(lists.mapInArrow(_joined, FOUND), "hot-found")
+    discard(shared, made)
+    return found
 
 
 def repeated(docs: DataFrame, packed: DataFrame, text: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -342,24 +417,31 @@ def repeated(docs: DataFrame, packed: DataFrame, text: str, length: int = LENGTH
         raise ValueError("the length must be at least 8 bytes")
     gram, width = max(4, length // 6), max(1, length // 20)
     places = stash(anchor_rows(docs, text, length, gram), "anchors")
-    twice = places.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    busy = stash(places.join(twice, "token", "left_semi"), "busy-anchors")
+    twice = places.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    busy = stash(join_counted(places, twice, ["token"], "c"), "busy-anchors")
     discard(places)
     classes = busy.groupBy("token", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "left", "windows")).alias("at"))
     classes = stash(classes.select("token", "around", "n", "at.*"), "anchor-classes")
-    several = classes.groupBy("token").agg(F.count("*").alias("many"), F.count_if(F.col("n") == 1).alias("alone")).where("many > 1 and alone > 0").drop("alone")
-    lists = classes.join(several, "token").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("token", "around", "start", "left", "windows", "n", "many")).alias("places"))  # bounded by the text
+    several = classes.groupBy("token").agg(F.count("*").alias("many"), F.count_if(F.col("n") == 1).alias("alone")).where("many > 1 and alone > 0")
+    several = several.select("token", F.col("many").alias("c"), "many")
+    lists = join_counted(classes, several, ["token"], "c").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("token", "around", "start", "left", "windows", "n", "many")).alias("places"))  # bounded by the text
     around = packed.select("__rid", "__z").join(lists, "__rid").select("__z", "places").mapInArrow(_surroundings(length), AROUND)
     around = stash(around, "surroundings")
     usual = around.where(F.col("many") <= hot).repartitionByRange("token").sortWithinPartitions("token")
-    found = stash(usual.mapInArrow(_bucket(length), FOUND), "found")
+    parts = [stash(usual.mapInArrow(_bucket(length), FOUND), "found")]
     hot_rows = around.where(F.col("many") > hot)
-    hot_found = stash(_hot_found(hot_rows, length, width), "hot-found")
+    if not hot_rows.isEmpty():
+        parts.append(_hot_found(hot_rows, length, width))
     discard(around)
-    whole = classes.where("n > 1").select("token", "around", F.array(F.lit(0)).alias("first"), F.array(F.col("windows") - 1).alias("last"))
-    spans = busy.join(found.union(hot_found).union(whole), ["token", "around"]).select("rid", "start", F.explode(F.arrays_zip(F.col("first").alias("a"), F.col("last").alias("b"))).alias("s"))
-    spans = spans.select(F.col("rid").alias("__rid"), (F.col("start") + F.col("s.a")).alias("lo"), (F.col("start") + F.col("s.b") + length).alias("hi"))
-    return stash(spans.groupBy("__rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")  # bounded by the text
+    found = reduce(DataFrame.union, parts)
+    whole = classes.where("n > 1").select("token", "around", "n", F.array(F.lit(0)).alias("first"), F.array(F.col("windows") - 1).alias("last"))
+    again = join_counted(busy, whole, ["token", "around"], "n")
+    once = busy.join(found, ["token", "around"]).select(*again.columns)  # runs that occur once: no class has two rows
+    bytes_of = F.transform(F.arrays_zip(F.col("first").alias("a"), F.col("last").alias("b")), lambda s: F.struct((F.col("start") + s["a"]).alias("lo"), (F.col("start") + s["b"] + length).alias("hi")))
+    spans = again.union(once).select(F.col("rid").alias("__rid"), bytes_of.alias("s"))
+    spans = stash(spans.groupBy("__rid").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")  # bounded by the text
+    discard(busy, classes, *parts)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -380,12 +462,25 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def passages(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """The spans that hold at least min_words words, cut ones included."""
+    return [(lo, hi) for lo, hi in spans if len(data[lo:hi].split()) >= min_words] if min_words else spans
+
+
+SPAN_LIST = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+
+def _span_lists(runs: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"lo": lo, "hi": hi} for lo, hi in r] for r in runs], SPAN_LIST)
+
+
+def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, min_words: int = 0) -> DataFrame:
     """docs (with __rid) without text, plus __text (null where it was), __spans (merged byte intervals removed), __kept (the remaining bytes).
 
     A null text is empty; texts under length bytes lose nothing. Strings are judged
-    on the input: of equal passages every copy goes, within one text too. Repeated
-    rows are separate texts, so they remove each other. An empty table stays empty."""
+    on the input: of equal passages every copy goes, within one text too. With
+    min_words, intervals with fewer words stay. Repeated rows are separate texts, so
+    they remove each other. An empty table stays empty."""
     packed = _packed(docs, text)
     joined = packed.join(repeated(docs, packed.select("__rid", "__z"), text, length, hot), "__rid", "left")
     names = [c for c in joined.columns if c not in ("spans", "__z")]
@@ -398,24 +493,73 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int =
                 part = b.slice(at, 64)
                 column = lambda c: part.column(part.schema.names.index(c))
                 texts = [None if z is None else unpack.decompress(z) for z in column("__z").to_pylist()]
-                runs = [merged(s) for s in column("spans").to_pylist()]
+                runs = [passages(t or b"", merged(s), min_words) for t, s in zip(texts, column("spans").to_pylist(), strict=True)]
                 kept = [kept_bytes(t or b"", r) for t, r in zip(texts, runs, strict=True)]
-                lists = pa.array([[{"lo": lo, "hi": hi} for lo, hi in r] for r in runs], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(texts, pa.binary()).cast(pa.string()), lists, pa.array(kept, pa.binary())], names=[*names, "__text", "__spans", "__kept"])
+                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(texts, pa.binary()).cast(pa.string()), _span_lists(runs), pa.array(kept, pa.binary())], names=[*names, "__text", "__spans", "__kept"])
 
     return joined.mapInArrow(run, f"{fields}, __text string, __spans array<struct<lo: int, hi: int>>, __kept binary")
 
 
-def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    out = dedup(with_row_id(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))), text, length, hot)
-    n = F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")
-    return out.select(F.col(f"`{key}`"), n.alias("n_bytes"), (n - F.octet_length("__kept")).alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+def _fragments(length: int):
+    """Arrow function over rows (__rid, packed text, spans): (rid, base, text) of merged intervals of at least length bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                out = []
+                for rid, z, spans in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                    long = [(lo, hi) for lo, hi in merged(spans) if hi - lo >= length]
+                    data = unpack.decompress(z) if long else b""
+                    out += [(rid, lo, data[lo:hi]) for lo, hi in long]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["rid", "base", "text"])
+
+    return run
+
+
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
+
+def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, hot: int = HOT, passage_bytes: int = PASSAGE_BYTES, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes) of every row.
+
+    passage_bytes: bytes in repeated passages of at least passage_words words, made of
+    strings of passage_bytes bytes that recur; n_passages: how many. A repeated string
+    of length bytes lies within intervals of the shorter ones, so these are looked for
+    first and only such intervals of at least length bytes are searched for it."""
+    short = min(passage_bytes, length)
+    rows = with_row_id(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    packed = _packed(rows, text)
+    coarse = repeated(rows, packed.select("__rid", "__z"), text, short, hot)
+    cut = packed.select("__rid", "__z").join(coarse, "__rid").mapInArrow(_fragments(length), "rid long, base int, text binary")
+    cut = with_row_id(cut)
+    fine = repeated(cut, _packed(cut.select("__rid", "text"), "text"), "text", length, hot).join(cut.select("__rid", "rid", "base"), "__rid")
+    fine = stash(fine.select("rid", "base", "spans"), "fine-spans")
+    discard(cut)
+    moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("base")).alias("lo"), (s["hi"] + F.col("base")).alias("hi")))
+    fine = fine.groupBy(F.col("rid").alias("__rid")).agg(F.flatten(F.collect_list(moved)).alias("spans"))  # bounded by the text
+    joined = packed.join(coarse.withColumnRenamed("spans", "coarse"), "__rid", "left").join(fine, "__rid", "left")
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            out = []
+            for z, less, more in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                data = unpack.decompress(z) if z is not None else b""
+                spans, long = merged(more), passages(data, merged(less), passage_words)
+                kept = kept_bytes(data, spans)
+                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(long), sum(hi - lo for lo, hi in long)))
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*out, strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
+
+    return joined.select(F.col(f"`{key}`"), "__z", "coarse", "spans").mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
 
 
-def clean(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, min_words: int = 0) -> DataFrame:
     """docs with repeated passages cut from text; characters of which some bytes went go whole."""
-    out = dedup(with_row_id(docs), text, length, hot)
+    out = dedup(with_row_id(docs), text, length, hot, min_words)
 
     @F.pandas_udf("string")
     def readable(s: pd.Series) -> pd.Series:
