@@ -1,13 +1,14 @@
-"""WARC writing and reading through a record table.
-
-A record is a row (record number, text): a payload over ``chunk_chars`` becomes
-a first segment and `continuation` segments, as WARC/1.0 defines them, one after
-the other in the record's row, so that no archive can end between them. The rows
-are written by Spark's text sink, whose line
-separator is the two empty lines that end a WARC record: each output file is a
-WARC archive (gzip by default), committed by Spark's own protocol, in a folder
-that only Spark need reach. Reading streams each archive block by block and
-carries one running digest per record over its segments.
+"""WARC writing and reading through a chunked record table.
+
+A record is one or more rows (archive, record number, chunk number, text): a payload
+over ``chunk_bytes`` becomes a first segment and `continuation` segments, as WARC/1.0
+defines them, cut from the payload's bytes one by one. Rows are dealt to archives as
+they are made, and an archive is full only at a record's end, so none ends between
+segments. Spark's text sink writes them, whose line separator is the two empty lines
+that end a WARC record: each file is a WARC archive (gzip by default, one member a
+file), committed by Spark's own protocol, in a folder that only Spark need reach.
+Reading streams each archive block by block and carries one running digest per
+record over its segments.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import scratch_path, with_row_id
+from lodeweave.llm.common import join_counted, scratch_path, with_row_id
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
-CHUNK_CHARS = 256 * 1024
-ARCHIVE_RECORDS = 20_000
+CHUNK_BYTES = 256 * 1024
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 20_000, 256 * 1024 * 1024
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"  # of every payload, not part of it
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -40,54 +44,100 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*marks)
 
 
-def mark_revisits(pages: DataFrame, key: str, digest: str = "digest", size: str = "size", min_bytes: int = 0) -> DataFrame:
-    """pages with refers_to: the smallest key of an equal payload, where that is another row's.
+def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(__rid, refers_to, refers_rid): rows whose payload an earlier key's row has, with the smallest such key and its row.
+
+    rows: __rid, k, digest, size, and no payload. Only digests that occur again are
+    joined back, and those of very many rows without moving these."""
+    again = rows.where((F.col("size") >= min_bytes) & F.col("k").isNotNull()).groupBy("digest", "size")
+    again = again.agg(F.min(F.struct("k", "__rid")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = join_counted(rows, again.select("digest", "size", F.col("first.k").alias("refers_to"), F.col("first.__rid").alias("refers_rid"), "n"), ["digest", "size"], "n")
+    return found.where("refers_to < k").select("__rid", "refers_to", "refers_rid")
+
+
+ROWS = "archive string, rid long, chunk int, record string"
+
+
+def _name(key, rid: int, chunk: int) -> str:
+    return f"<urn:x-page:{'' if key is None else key}:{rid}.{chunk}>"
+
+
+def _cuts(data: memoryview, size: int) -> list[tuple[int, int]]:
+    """Where to cut UTF-8 bytes into pieces of at most size bytes, whole characters each."""
+    out, at = [], 0
+    while len(data) - at > size:
+        end = at + size
+        while end > at + 1 and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(data))]
+
+
+def _segments(chunk_bytes: int, per_archive: int, archive_bytes: int):
+    """Arrow function over (rid, key, url, digest, refers_to, refers_rid, payload): ROWS, a chunk at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        part, archive, records, filled = TaskContext.get().partitionId(), 0, 0, 0
+        for b in batches:
+            for rid, key, url, digest, to, to_rid, payload in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6), strict=True):
+                data = memoryview(payload.as_buffer()) if payload.is_valid and to is None else memoryview(b"")
+                if records and (records >= per_archive or filled + len(data) > archive_bytes):
+                    archive, records, filled = archive + 1, 0, 0
+                records, filled = records + 1, filled + len(data)
+                cuts = _cuts(data, chunk_bytes)
+                for n, (lo, hi) in enumerate(cuts):
+                    kind = "continuation" if n else "response" if to is None else "revisit"
+                    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(key, rid, n)}", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z"]
+                    block = b"" if n else HEAD
+                    if not n:
+                        lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+                    if to is not None:
+                        lines += [f"WARC-Refers-To: {_name(to, to_rid, 0)}", f"WARC-Profile: {PROFILE}", f"X-Payload-Bytes: {len(payload.as_buffer()) if payload.is_valid else 0}"]
+                    if len(cuts) > 1:
+                        lines.append(f"WARC-Segment-Number: {n + 1}")
+                    if n:
+                        lines.append(f"WARC-Segment-Origin-ID: {_name(key, rid, 0)}")
+                        if n == len(cuts) - 1:
+                            lines.append(f"WARC-Segment-Total-Length: {len(HEAD) + len(data)}")
+                    lines.append(f"Content-Length: {len(block) + hi - lo}")
+                    yield f"{part}-{archive}", rid, n, "\r\n".join(lines).encode("utf-8", "surrogatepass") + END.encode() + block + bytes(data[lo:hi])
 
-    Only digests that occur again are joined back, after a partial count."""
-    again = pages.where(f"{size} >= {min_bytes}").groupBy(digest, size).agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return pages.join(again, [digest, size], "left").withColumn("refers_to", F.when(F.col("__first") < F.col(key), F.col("__first"))).drop("__first")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = rows(batches), 0
+        while True:
+            out, held = [], 0
+            for row in made:
+                out.append(row)
+                held += len(row[3])
+                if held >= 1 << 22:
+                    break
+            if not out:
+                return
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.string())], names=[x.split()[0] for x in ROWS.split(", ")])
+
+    return run
 
 
-def records(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The record table: (rid, chunks, record) with the WARC text of all segments of a record.
+def records(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, per_archive: int = ARCHIVE_RECORDS, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """The chunked record table (ROWS): the WARC text of every segment.
 
     Null payloads are empty, null urls '-'. Equal payloads of at least min_bytes
     bytes: the smallest key's record is the response, the others' are revisits
     (rows that repeat a key are responses of their own). A null key is written as
-    an empty id and is never referred to."""
-    base = with_row_id(pages.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{url}`"), F.lit("-")).alias("u"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("p")))
-    base = base.withColumn("digest", base32_sha1(F.col("p"))).withColumn("size", F.octet_length("p").cast("long"))
-    base = mark_revisits(base, "k", min_bytes=min_bytes)
-    revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, "").otherwise(F.col("p"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.length(body) / chunk_chars)).cast("int")
-    rows = base.withColumn("body", body).withColumn("chunks", chunks)
-    name = lambda k, n: F.concat(F.lit("<urn:x-page:"), F.coalesce(k.cast("string"), F.lit("")), F.lit(":"), n.cast("string"), F.lit(">"))
-    line = lambda head, value: F.concat(F.lit(f"\r\n{head}: "), value.cast("string"))
-    none = F.lit("")
-
-    def segment(chunk: Column) -> Column:
-        part = F.substring(F.col("body"), chunk * chunk_chars + 1, F.lit(chunk_chars))
-        kind = F.when(chunk > 0, "continuation").when(revisit, "revisit").otherwise("response")
-        return F.concat(
-            F.lit("WARC/1.0"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("k"), F.concat_ws(".", "__rid", chunk.cast("string")))),
-            line("WARC-Target-URI", F.regexp_replace("u", r"[\r\n]", " ")), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-            line("X-Page-Id", F.coalesce(F.col("k").cast("string"), none)),
-            F.when(chunk == 0, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))).otherwise(none),
-            F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("refers_to").cast("string"), F.lit(">"))), line("X-Payload-Bytes", F.col("size")))).otherwise(none),
-            F.when(F.col("chunks") > 1, line("WARC-Segment-Number", chunk + 1)).otherwise(none),
-            F.when(chunk > 0, line("WARC-Segment-Origin-ID", name(F.col("k"), F.concat_ws(".", "__rid", F.lit("0"))))).otherwise(none),
-            F.when((F.col("chunks") > 1) & (chunk == F.col("chunks") - 1), line("WARC-Segment-Total-Length", F.col("size"))).otherwise(none),
-            line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(part)), F.lit(END), part,
-        )
-
-    record = F.array_join(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), segment), END)
-    return rows.select(F.col("__rid").alias("rid"), "chunks", record.alias("record"))
-
-
-def write(record_table: DataFrame, path: str, compression: str = "gzip", per_archive: int = ARCHIVE_RECORDS) -> None:
-    """Archives of at most per_archive records each, never ending between segments of one. The table's row order is kept: no shuffle."""
-    record_table.select("record").write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_archive).text(path)
+    an empty id, refers to no record and is never referred to."""
+    base = pages.select(F.col(f"`{key}`").alias("k"), F.regexp_replace(F.coalesce(F.col(f"`{url}`"), F.lit("-")), r"[\r\n]", " ").alias("u"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("p"))
+    base = with_row_id(base.withColumn("digest", base32_sha1(F.col("p"))).withColumn("size", F.octet_length("p").cast("long")))
+    found = revisits(base.select("__rid", "k", "digest", "size"), min_bytes)
+    rows = base.join(found, "__rid", "left").select("__rid", "k", "u", "digest", "refers_to", "refers_rid", F.col("p").cast("binary").alias("p"))
+    return rows.mapInArrow(_segments(chunk_bytes, per_archive, archive_bytes), ROWS)
+
+
+def write(record_table: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A folder per archive, named by its number. The table's own deal is kept: no shuffle."""
+    ordered = record_table.sortWithinPartitions("archive", "rid", "chunk").select("archive", "record")
+    ordered.write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(path)
 
 
 LENGTH = re.compile(rb"\r\nContent-Length: (\d+)")
@@ -143,7 +193,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if head["WARC-Type"] != "continuation":
                         if state:
                             out.append(_finish(*state))
-                        state = (head, hashlib.sha1(), [0], {})
+                        state = (head, hashlib.sha1(), [0, 0], {})
+                        if head["WARC-Type"] == "response":
+                            state[2][1] = chunk.index(b"\r\n\r\n") + 4  # the HTTP head
+                            chunk = memoryview(chunk)[state[2][1] :]
                     state[1].update(chunk)
                     state[2][0] += len(chunk)
                     state[3].update(head)
@@ -155,15 +208,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names = [x.split()[0] for x in FIELDS.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, FIELDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, FIELDS)
 
 
 def _finish(head: dict[str, str], digest, size: list[int], last: dict[str, str]) -> tuple:
-    number = int(head["X-Page-Id"]) if head["X-Page-Id"] else None
+    number = head["WARC-Record-ID"].split(":")[2]
+    number = int(number) if number else None
     declared = head["WARC-Payload-Digest"].removeprefix("sha1:")
     if head["WARC-Type"] == "revisit":
-        return number, head["WARC-Target-URI"], int(head["X-Payload-Bytes"]), declared, "revisit", int(head["WARC-Refers-To"].removeprefix("<urn:x-page:").rstrip(">"))
-    if "WARC-Segment-Total-Length" in last and int(last["WARC-Segment-Total-Length"]) != size[0]:
+        return number, head["WARC-Target-URI"], int(head["X-Payload-Bytes"]), declared, "revisit", int(head["WARC-Refers-To"].split(":")[2])
+    if "WARC-Segment-Total-Length" in last and int(last["WARC-Segment-Total-Length"]) != sum(size):
         raise ValueError(f"page {number}: segments of {size[0]} bytes, not as many as declared")
     found = base64.b32encode(digest.digest()).decode()
     if found != declared:
