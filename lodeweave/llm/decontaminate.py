@@ -31,6 +31,8 @@ from lodeweave.llm.common import with_row_id
 
 WINDOW = 6
 FILTER_BITS = 22
+LEAST_TOKENS = 2  # an item of one token would match every text that has the word
+BROADCAST_WINDOWS = 500_000  # windows of a benchmark that go to every executor; more are dealt by hash
 MARK = "\0"  # before a capitalised word that begins a sentence
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\0?[^\W\d_]+")
 SENTENCE = re.compile(r"(?:\A|[.!?:;\n])\W*[^\W\d_]")
@@ -168,7 +170,7 @@ def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
         make = Templates()
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens, codes, initial = make.codes(t)
-            n = min(len(codes), WINDOW)
+            n = min(len(codes), WINDOW) if len(codes) >= LEAST_TOKENS else 0
             found = list(make.readings(tokens, codes, initial, n))
             worded = {place for at, _, names in found for place in at[names >= 0].tolist()}
             for part in found:
@@ -197,7 +199,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
     """(row, item, windows, matched, first_pos): the pairs found, by the document's row number.
 
     Null, empty and too short texts match nothing; an item without words matches
-    its exact copies only, however short it is. windows and matched count all places of
+    its exact copies only, however short it is, if it has LEAST_TOKENS tokens. Ties don't
+    arise: every pair that reaches min_coverage is given. windows and matched count all places of
     the item, whether they have a template or not. Texts of any length are read whole. Repeated items, rows or windows
     are judged each for itself. Empty tables give no pairs."""
     spark = docs.sparkSession
@@ -223,7 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
             yield from _batches(rows(b, make, tables), ["k", "h", "n", "pos", "places", "slots"], [pa.int64(), *KINDS])
 
     hits = docs.select(F.col(f"`{row}`"), F.col(f"`{text}`")).mapInArrow(run, f"k long, {COLUMNS}").drop("places")
-    d, i = hits.alias("d"), windows.alias("i")
+    few = windows.count() <= BROADCAST_WINDOWS
+    d, i = hits.alias("d"), (F.broadcast(windows) if few else windows).alias("i")
     pairs = d.join(i, (F.col("d.h") == F.col("i.h")) & (F.col("d.n") == F.col("i.n")) & (F.size("d.slots") == F.size("i.slots"))).select(
         F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.worded").alias("worded"), F.col("i.pos").alias("pos"), F.col("i.has_words").alias("has_words"),
         F.arrays_zip(F.col("i.places").alias("p"), F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),

@@ -26,29 +26,32 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.common import stash
 
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer file (JSON), as little-endian uint32 bytes.
 
     The file's merges are applied by rank, which tiktoken does several times faster
-    than the file's own library; the ids are the same, as PROBE checks when the file
-    is opened on the driver. Strings of special tokens are ordinary text."""
+    than the file's own library. With check, it is made sure on the driver that the
+    ids are the same: every merge's id must grow with its place in the file, and PROBE
+    must give the same ids. Strings of the file's added tokens become their ids."""
 
-    PROBE = "Ab c's don't  12,3 ñandú\u2009x\n\n\tü\u3000漢字 🙂 zz"
+    PROBE = "Ab c's don't  12,3 ñandú\u2009x\n\n\tü\u3000漢字 🙂 zz<|endoftext|> <|x|>"
 
     def __init__(self, path: str, check: bool = False):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        ranks = {self._bytes(token): n for token, n in model["vocab"].items() if not (token.startswith("<|") and token.endswith("|>"))}
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens") or ()}
+        ranks = {self._bytes(token): n for token, n in vocab.items() if token not in added}
+        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
         if check:
             from tokenizers import Tokenizer
 
-            other = Tokenizer.from_file(path)
-            other.encode_special_tokens = True
-            if other.encode(self.PROBE, add_special_tokens=False).ids != self.encoding.encode_ordinary(self.PROBE):
+            merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in file["model"]["merges"]]
+            same = Tokenizer.from_file(path).encode(self.PROBE, add_special_tokens=False).ids == np.frombuffer(self.encode(self.PROBE), "<u4").tolist()
+            if not same or merged != sorted(merged):
                 raise ValueError(f"{path} isn't a byte-level BPE file whose ids are its merge ranks")
 
     @staticmethod
@@ -63,7 +66,7 @@ class Encoder:
         return bytes(map(self._alphabet().__getitem__, token))
 
     def encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

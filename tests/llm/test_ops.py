@@ -75,6 +75,9 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "zq zr"), (5, item)], "item_id long, text string")
     out = {(r["doc_id"], r["item_id"]) for r in decontaminate.report(docs(spark, ODD + texts), bench).collect()}
     assert out == {(10, 1), (10, 5), (11, 1), (11, 5)}  # one value for two is a different question
+    clashing = docs(spark, ODD + texts).withColumnsRenamed({"task": "row", "sketch": "item", "source": "item_id"})
+    assert decontaminate.clean(clashing, bench).columns == clashing.columns
+    assert decontaminate.report(docs(spark, [(1, "Bread is baked"), (2, "bread " * 20_000)]), spark.createDataFrame([(1, "bread")], "item_id long, text string")).count() == 0
     kept = decontaminate.clean(docs(spark, ODD + texts), bench)
     assert kept.columns == docs(spark, []).columns and kept.count() == len(ODD) + 2
     assert decontaminate.report(docs(spark, []), bench).count() == 0 == decontaminate.report(docs(spark, texts), bench.limit(0)).count()
@@ -150,6 +153,11 @@ def test_sharding(spark):
 # --- 5 ---
 
 
+def test_letters_decide():
+    assert not len(language_id.presence("² ½ Ⅳ ① 12 _")) and len(language_id.presence("ª")) and len(language_id.presence("漢"))
+    assert (language_id.presence("½hello²") == language_id.presence("!hello!")).all()
+
+
 def test_language_id(spark):
     base = {"en": "the and of with from this that have", "de": "der die und mit nicht werden über", "fr": "le les des être avec pour où ça"}
     texts, langs = [], []
@@ -172,33 +180,55 @@ def test_language_id(spark):
 # --- 6 ---
 
 
-def brute_repeats(rows, length):
+def brute_spans(rows, length):
     seen = {}
     for b in rows:
         for i in range(len(b) - length + 1):
             seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
-    out = []
     for b in rows:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
-        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        yield [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+
+
+def brute_repeats(rows, length):
+    out = []
+    for b, spans in zip(rows, brute_spans(rows, length), strict=True):
+        kept = b"".join(b[lo:hi] for lo, hi in zip([0, *(hi for _, hi in spans)], [*(lo for lo, _ in spans), len(b)], strict=True))
+        out.append((len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
     return out
 
 
 @pytest.mark.parametrize("hot", [2048, 1])
 @pytest.mark.parametrize("length", [400, 24])
-def test_suffix_dedup_equals_brute_force(spark, hot, length):
+def test_suffix_dedup_equals_brute_force(spark, hot, length, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 5_000)  # long texts are cut into overlapping blocks
     passage, edge = words(77, 120), words(78, 90)
     texts = ODD[:-2] + [(20 + i, words(i, 60 + i) + passage + words(100 + i, 30)) for i in range(6)]
     texts += [(30, "ab" * 700), (31, words(9, 150)), (31, words(9, 150)), (32, edge + "ñ" + edge), (33, edge[:399]), (34, edge[:400]), (35, "y" * 401), (36, "z" * 400)]
+    texts += [(37, words(37, 2_500) + passage), (38, words(38, 55)), (39, words(38, 55) + " end")]
     got = sorted(tuple(r)[1:] for r in suffix_dedup.digest(docs(spark, texts), length=length, hot=hot).collect())
-    assert got == sorted(brute_repeats([(t or "").encode() for _, t in texts], length))
+    raw = [(t or "").encode() for _, t in texts]
+    assert [r[:4] for r in got] == sorted(brute_repeats(raw, length))
+    short, want = min(length, 200), []
+    for data, spans in zip(raw, brute_spans(raw, short), strict=True):
+        long = [(lo, hi) for lo, hi in spans if len(data[lo:hi].split()) >= 50]
+        want.append((len(data), len(long), sum(hi - lo for lo, hi in long)))
+    assert sorted((r[0], r[4], r[5]) for r in got) == sorted(want)
     assert suffix_dedup.digest(docs(spark, []), length=length).count() == 0
 
 
+def test_multikey_ties():
+    r = np.random.default_rng(4)
+    keys = r.integers(0, 3, (400, 5))
+    got = suffix_dedup.multikey_ties(keys[:, 0].astype(np.uint64), lambda d, rows: keys[rows, d + 1], 4)
+    _, back, count = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
+    assert sorted(got.tolist()) == np.flatnonzero(count[back.ravel()] > 1).tolist()
+    assert len(suffix_dedup.multikey_ties(np.zeros(0, np.uint64), None, 2)) == 0
+
+
 def test_suffix_clean_keeps_columns(spark):
     passage = "ñandú " * 90
     x = docs(spark, [(1, "α" + words(1, 20) + passage), (2, "β" + words(2, 20) + passage), (3, None)])
@@ -228,18 +258,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(x.limit(0), path=str(tmp_path / "e")).count() == 0
     import gzip
 
-    plain = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
+    plain = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("archive=*/part-*"))
     records = list(warc.parse(plain))
-    assert sum(h["WARC-Type"] == "continuation" for h, _ in records) == 2 and all(len(c) <= 4 * warc.CHUNK_CHARS for _, c in records)
+    assert sum(h["WARC-Type"] == "continuation" for h, _ in records) == 5 and all(len(c) <= warc.CHUNK_BYTES + len(warc.HEAD) for _, c in records)
+    names = {h["WARC-Record-ID"]: h for h, _ in records}
+    assert len(names) == len(records)
+    for h, _ in records:  # references resolve, and to equal payloads
+        if h["WARC-Type"] == "revisit":
+            assert names[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and h["WARC-Profile"] == warc.PROFILE
+        if h["WARC-Type"] == "continuation":
+            assert h["WARC-Segment-Origin-ID"] in names
 
 
 def test_warc_archives_end_between_records(spark, tmp_path):
     rows = [(i, "u", f"{i} " + "é" * n) for i, n in enumerate([10, 95, 3, 250, 100, 0])]
     x = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
-    warc.write(warc.records(x, "page_id", "url", "html", chunk_chars=30), str(tmp_path / "w"), per_archive=2)
-    assert len(list((tmp_path / "w").glob("part-*"))) == 3
-    out = {r["page_id"]: r["payload_bytes"] for r in warc.read(spark, str(tmp_path / "w")).collect()}
-    assert out == {i: len(html.encode()) for i, _, html in rows}
+    for name, bound, archives in (("w", {"per_archive": 2}, 3), ("v", {"archive_bytes": 300}, 4)):
+        warc.write(warc.records(x, "page_id", "url", "html", chunk_bytes=60, **bound), str(tmp_path / name))
+        parts = list((tmp_path / name).glob("archive=*/part-*"))
+        out = {r["page_id"]: r["payload_bytes"] for r in warc.read(spark, str(tmp_path / name)).collect()}
+        assert len(parts) >= 3 and (name == "v" or len(parts) >= archives)
+        assert out == {i: len(html.encode()) for i, _, html in rows}
 
 
 # --- 8 ---
@@ -271,9 +310,8 @@ def test_encoder_equals_the_files_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    e = packing.Encoder(TOKENIZER)
-    for text in ["", " ", "a  b\n\n c\t", "it's DON'T 12,3", "ñ 漢字🙂\u2009x\u3000", "<|endoftext|> x", "\x1c\x85 y", "x" * 3000]:
+    e = packing.Encoder(TOKENIZER, check=True)
+    for text in ["", " ", "a  b\n\n c\t", "it's DON'T 12,3", "ñ 漢字🙂\u2009x\u3000", "<|endoftext|> x", "a<|endoftext|><|endoftext|>b <|end", "\x1c\x85 y", "x" * 3000]:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
