@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions import lexicon as L
@@ -32,25 +32,51 @@ def truncate_to_tokens(text: Column, budget: int) -> Column:
     return F.array_join(F.aggregate(words, start, step)["kept"], " ")
 
 
-def canonical_term(token: Column) -> Column:
-    """Family canonical form, else a cautious plural rule, else the token."""
-    table = F.create_map(*[F.lit(x) for family in L.FAMILIES for word in family for x in (word, family[0])])
+def singular(token: Column) -> Column:
+    """A cautious plural rule; tokens without a last s are left as they are at once."""
     n = F.length(token)
-    plural = (
+    cut = (
         F.when((n > 4) & token.endswith("ies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
         .when((n > 4) & token.endswith("sses"), F.substring(token, F.lit(1), n - 2))
-        .when((n > 3) & token.endswith("s") & ~token.rlike("(ss|us|is)$"), F.substring(token, F.lit(1), n - 1))
+        .when((n > 3) & ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is"), F.substring(token, F.lit(1), n - 1))
         .otherwise(token)
     )
-    return F.coalesce(F.try_element_at(table, token), plural)
+    return F.when(token.endswith("s"), cut).otherwise(token)
 
 
-def terms(text: Column, keep_stopwords: bool = False) -> Column:
-    """Canonical lexical tokens in order (text already in NFKC form where that matters)."""
+def families(spark: SparkSession) -> DataFrame:
+    """(token, canonical): the word families, a fixed small table to broadcast."""
+    return spark.createDataFrame([(word, family[0]) for family in L.FAMILIES for word in family], "token string, canonical string")
+
+
+def canonical_term(token: Column) -> Column:
+    """Family canonical form, else a cautious plural rule, else the token. The table is searched for family words only."""
+    table = F.create_map(*[F.lit(x) for family in L.FAMILIES for word in family for x in (word, family[0])])
+    words = [word for family in L.FAMILIES for word in family]
+    return F.when(token.isin(words), F.try_element_at(table, token)).otherwise(singular(token))
+
+
+def tokens(text: Column, keep_stopwords: bool = False) -> Column:
+    """Lexical tokens in order, as they stand (text already in NFKC form where that matters)."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(L.TOKEN), F.lit(0))
-    if not keep_stopwords:
-        found = F.filter(found, lambda t: ~t.isin(L.STOPWORDS))
-    return F.transform(found, canonical_term)
+    return found if keep_stopwords else F.filter(found, lambda t: ~t.isin(L.STOPWORDS))
+
+
+def terms(text: Column, keep_stopwords: bool = False) -> Column:
+    """Canonical lexical tokens in order."""
+    return F.transform(tokens(text, keep_stopwords), canonical_term)
+
+
+def term_rows(df: DataFrame, text: Column, keep: list[str], length: str | None = None) -> DataFrame:
+    """A row per lexical token: the columns of keep, optionally how many there are, and term.
+
+    Tokens are rows before they are canonicalised, by a broadcast join with the
+    families, so the work per token is generated code."""
+    found = df.select(*keep, tokens(text).alias("__t"))
+    sized = [F.size("__t").alias(length)] if length else []
+    rows = found.select(*keep, *sized, F.explode("__t").alias("token"))
+    rows = rows.join(F.broadcast(families(df.sparkSession)), "token", "left")
+    return rows.select(*keep, *([length] if length else []), F.coalesce("canonical", singular(F.col("token"))).alias("term"))
 
 
 def repair_characters(text: Column) -> Column:

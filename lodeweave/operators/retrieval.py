@@ -41,18 +41,27 @@ def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: s
 # --- BM25 ------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, section: str | None = None, text: str = "text") -> DataFrame:
-    """(tenant_id, chunk_id, term, tf, length): the index, one pass and one shuffle by (chunk, term)."""
-    body = F.concat_ws("\n", section, text) if section else F.col(text)
-    words = chunks.select("tenant_id", "chunk_id", tx.terms(body).alias("t"))
-    counted = words.select("tenant_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return counted.groupBy("tenant_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def _body(section: str | None, text: str) -> Column:
+    return F.concat_ws("\n", section, text) if section else F.col(text)
+
+
+def postings(chunks: DataFrame, section: str | None = None, text: str = "text", asked: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, chunk_id, term, tf, length): the index, one pass and one shuffle by (chunk, term).
+
+    With asked, queries with terms, only their postings are counted and moved."""
+    rows = tx.term_rows(chunks, _body(section, text), ["tenant_id", "chunk_id"], "length")
+    if asked is not None:
+        rows = rows.join(asked_terms(asked).select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
+    return rows.groupBy("tenant_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "tenant_id", F.explode(F.array_distinct("terms")).alias("term"))
 
 
 def corpus_stats(chunks: DataFrame, section: str | None = None, text: str = "text") -> DataFrame:
     """(tenant_id, docs, mean_length) over all chunks, those without terms included."""
-    body = F.concat_ws("\n", section, text) if section else F.col(text)
-    return chunks.groupBy("tenant_id").agg(F.count("*").alias("docs"), F.avg(F.size(tx.terms(body))).alias("mean_length"))
+    return chunks.groupBy("tenant_id").agg(F.count("*").alias("docs"), F.avg(F.size(tx.tokens(_body(section, text)))).alias("mean_length"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -61,7 +70,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, tenant_id, chunk_id, score > 0). Query terms are distinct and reach the postings before any counting."""
-    asked = queries.select("query_id", "tenant_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = asked_terms(queries)
     wanted = index.join(asked.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
     df = wanted.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
     weighed = wanted.join(df, ["tenant_id", "term"]).join(stats, "tenant_id")
@@ -122,6 +131,7 @@ def agreement(merged: DataFrame) -> DataFrame:
 
 # --- boosts and reranking -------------------------------------------------------------
 
+# What each kind of evidence adds.
 BOOSTS = {"reference": 0.25, "phrase": 0.15, "agreement": 0.05, "heading": 0.05, "heading_only": -0.30}
 
 

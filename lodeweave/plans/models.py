@@ -8,7 +8,7 @@ from lodeweave.functions.embeddings import encoder
 from lodeweave.operators import ml
 from lodeweave.operators import tabular as t
 from lodeweave.plans.registry import query, table
-from lodeweave.sources.store import same_content, unchanged
+from lodeweave.sources.store import changed, same_content, unchanged
 
 
 def _orders(spark, d):
@@ -92,23 +92,35 @@ def hashed_embeddings(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", encoder("hashing", width=64)(F.col("text")).alias("vector"))
 
 
-_INDEXED = "SELECT source, doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 2 = 0"
+# the index holds every document, some of them as they were before a change
+_DIGESTS = "SELECT source, doc_id, sha256(text) AS digest, CASE WHEN n_chars % 3 = 0 THEN sha256(text || '.') ELSE sha256(text) END AS indexed FROM documents"
 
 
 def _digests(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("digest"))
+    x = table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("digest"), "n_chars", "text")
+    return x.withColumn("indexed", F.when(F.col("n_chars") % 3 == 0, F.sha2(F.concat("text", F.lit(".")), 256)).otherwise(F.col("digest"))).drop("text", "n_chars")
 
 
-@query(f"WITH i AS ({_INDEXED}) SELECT d.source AS tenant_id, d.doc_id AS document_id, sha256(d.text) AS digest FROM documents d SEMI JOIN i ON i.source = d.source AND i.doc_id = d.doc_id AND i.digest = sha256(d.text)")
+def _index(x):
+    return x.select("tenant_id", "document_id", F.col("indexed").alias("digest"))
+
+
+@query(f"WITH d AS ({_DIGESTS}) SELECT source AS tenant_id, doc_id AS document_id, digest FROM d WHERE digest = indexed")
 def unchanged_documents(spark, d):
     x = _digests(spark, d)
-    return unchanged(x, x.where("document_id % 2 = 0")).select("tenant_id", "document_id", "digest")
+    return unchanged(x.drop("indexed"), _index(x)).select("tenant_id", "document_id", "digest")
 
 
-@query(f"WITH i AS ({_INDEXED}), t AS (SELECT source, digest, min(doc_id) AS lo, max(doc_id) AS hi FROM i GROUP BY ALL) SELECT d.source AS tenant_id, d.doc_id AS document_id, CASE WHEN lo <> d.doc_id THEN lo ELSE hi END AS twin FROM documents d JOIN t ON t.source = d.source AND t.digest = sha256(d.text) WHERE lo <> d.doc_id OR hi <> d.doc_id")
-def duplicate_documents(spark, d):
+@query(f"WITH d AS ({_DIGESTS}) SELECT source AS tenant_id, doc_id AS document_id, digest FROM d WHERE digest <> indexed")
+def changed_documents(spark, d):
     x = _digests(spark, d)
-    return same_content(x, x.where("document_id % 2 = 0"))
+    return changed(x.drop("indexed"), _index(x)).select("tenant_id", "document_id", "digest")
+
+
+@query(f"WITH d AS ({_DIGESTS}), t AS (SELECT source, digest, min(doc_id) AS lo, max(doc_id) AS hi FROM d GROUP BY ALL) SELECT d.source AS tenant_id, d.doc_id AS document_id, CASE WHEN lo <> d.doc_id THEN lo ELSE hi END AS twin FROM d JOIN t USING (source, digest) WHERE lo <> d.doc_id OR hi <> d.doc_id")
+def duplicate_documents(spark, d):
+    x = _digests(spark, d).drop("indexed")
+    return same_content(x, x)
 
 
 @query("SELECT conv_id AS job_id, count(*) AS processed, count(*) FILTER (role <> 'system') AS succeeded, count(*) FILTER (role = 'system') AS failed, 1.0::DOUBLE AS progress FROM conversations GROUP BY conv_id")

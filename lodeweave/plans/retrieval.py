@@ -9,7 +9,7 @@ from lodeweave.functions.questions import question_table
 from lodeweave.operators import answers, chunking, context
 from lodeweave.operators import retrieval as r
 from lodeweave.operators.tabular import scope
-from lodeweave.plans.registry import query, table
+from lodeweave.plans.registry import query, spread, table
 from lodeweave.plans.text import WORDS_SQL
 
 ASKED = [(f"q{i}", f"src{i}", text) for i, text in enumerate(["What is the thnt and therehe ation?", "tell me about que de ción", "der die und ungen", "clause 4 of the ention", "\"of the\" and onea"])]
@@ -17,7 +17,7 @@ TERMS = ["thnt", "ation", "que", "de", "der", "die", "und", "ing", "tion"]
 
 
 def chunks(spark, d):
-    x = table(spark, d, "documents")
+    x = spread(table(spark, d, "documents").select("source", "doc_id", "text", "lang"))
     return x.select(F.col("source").alias("tenant_id"), F.format_string("d%07d", "doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), F.substring_index("text", "\n", 1).alias("section"), "text", "lang")
 
 
@@ -37,8 +37,8 @@ _BM25 = f"""WITH {WORDS_SQL}, n AS (SELECT d.source, count(*) AS docs, avg(coale
 
 
 def _keyword(spark, d, k=18):
-    c = chunks(spark, d)
-    return r.keyword_search(r.postings(c), r.corpus_stats(c), _every_tenant(spark, d), k)
+    c, asked = chunks(spark, d), _every_tenant(spark, d)
+    return r.keyword_search(r.postings(c, asked=asked), r.corpus_stats(c), asked, k)
 
 
 @query(_BM25 + " SELECT source AS tenant_id, printf('d%07d', doc_id) AS chunk_id, round(score, 6) AS raw_score, round(score / max(score) OVER (PARTITION BY source), 6) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 18")
@@ -138,7 +138,7 @@ _RELEVANCE = f"""WITH {WORDS_SQL}, p AS (SELECT doc_id, term, min(seq) AS first
 @query(_RELEVANCE + " SELECT doc_id, score FROM e")
 def lexical_rerank(spark, d):
     terms = F.array(*[F.lit(t) for t in TERMS])
-    return table(spark, d, "documents").select("doc_id", r.lexical_relevance(F.col("text"), terms, F.array().cast("array<string>")).alias("score"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", r.lexical_relevance(F.col("text"), terms, F.array().cast("array<string>")).alias("score"))
 
 
 @query()
@@ -160,7 +160,7 @@ def collapsed_pool(spark, d):
 
 
 def _chunked(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), "text"))
     return chunking.chunk(chunking.document_blocks(docs))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import lexicon as L
 from lodeweave.functions import text as tx
-from lodeweave.plans.registry import query, table
+from lodeweave.plans.registry import query, spread, table
 
 # SQL fragments
 STOP_SQL = ", ".join(f"'{w}'" for w in L.STOPWORDS)
@@ -25,9 +25,13 @@ WORDS_SQL = rf"""fam(w, canon) AS ({FAMILY_SQL}),
     words AS (SELECT source, doc_id, pos, {CANON_SQL} AS term FROM (SELECT source, doc_id, x[1] AS w, x[2] AS pos FROM raw) r LEFT JOIN fam f USING (w) WHERE w NOT IN ({STOP_SQL}))"""
 
 
+def _texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query(f"SELECT doc_id, {TOKENS_SQL.format('text')} AS tokens FROM documents")
 def token_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"))
+    return _texts(spark, d).select("doc_id", tx.token_count(F.col("text")).alias("tokens"))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
@@ -35,7 +39,7 @@ def token_count(spark, d):
     r AS (SELECT doc_id, x[1] AS word, x[2] AS i, sum({TOKENS_SQL.format('x[1]')}) OVER (PARTITION BY doc_id ORDER BY x[2]) AS run FROM u)
     SELECT w.doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS kept FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND run <= 20 GROUP BY w.doc_id""")
 def truncate_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.truncate_to_tokens(F.col("text"), 20).alias("kept"))
+    return _texts(spark, d).select("doc_id", tx.truncate_to_tokens(F.col("text"), 20).alias("kept"))
 
 
 @query(f"SELECT doc_id, md5({FORM_SQL.format('text')}) AS form FROM documents")
@@ -53,19 +57,19 @@ def exact_duplicates(spark, d):
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS unique_terms, min(term) AS least FROM words GROUP BY doc_id")
 def canonical_terms(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    x = tx.term_rows(_texts(spark, d), F.col("text"), ["doc_id"])
     return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("unique_terms"), F.min("term").alias("least"))
 
 
 @query(f"WITH {WORDS_SQL} SELECT term, count(*) AS n FROM words GROUP BY term ORDER BY n DESC, term LIMIT 60")
 def ngram_top(spark, d):
-    x = table(spark, d, "documents").select(F.explode(tx.terms(F.col("text"))).alias("term"))
+    x = tx.term_rows(_texts(spark, d), F.col("text"), [])
     return x.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(60)
 
 
 @query(f"WITH {WORDS_SQL}, p AS (SELECT doc_id, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM words) SELECT pair, count(*) AS n FROM p WHERE pair IS NOT NULL GROUP BY pair ORDER BY n DESC, pair LIMIT 50")
 def bigram_top(spark, d):
-    x = table(spark, d, "documents").select(tx.terms(F.col("text")).alias("t"))
+    x = _texts(spark, d).select(tx.terms(F.col("text")).alias("t"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.get("t", i - 1), F.get("t", i)))
     x = x.where(F.size("t") > 1).select(F.explode(pairs).alias("pair"))
     return x.groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(50)
@@ -76,11 +80,11 @@ def bigram_top(spark, d):
     w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term), n)
     SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf(spark, d):
-    docs = table(spark, d, "documents")
-    x = docs.select("doc_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    docs = _texts(spark, d)
+    x = tx.term_rows(docs, F.col("text"), ["doc_id"])
     tf = x.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     voc = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(200)
-    n = docs.agg(F.count("*").alias("n"))
+    n = table(spark, d, "documents").agg(F.count("*").alias("n"))
     w = tf.join(F.broadcast(voc), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, "doc_id").select("doc_id", "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
@@ -170,7 +174,7 @@ def token_windows(spark, d):
     g AS (SELECT doc_id, f, unnest(range(1, greatest(2, length(f) - 3))) AS i FROM f WHERE f <> '')
     SELECT doc_id, count(DISTINCT substr(f, i, 5)) AS grams FROM g GROUP BY doc_id""")
 def shingle_counts(spark, d):
-    x = table(spark, d, "documents").select("doc_id", tx.char_shingles(F.col("text")).alias("s"))
+    x = _texts(spark, d).select("doc_id", tx.char_shingles(F.col("text")).alias("s"))
     return x.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("grams"))
 
 
