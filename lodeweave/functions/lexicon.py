@@ -105,3 +105,8 @@ TYPE_HINTS = [
     ("invoice", ["invoice", "bill of "]),
     ("letter", ["letter", "notice of"]),
 ]
+
+
+def word_union(*lists: list[str]) -> list[str]:
+    """The distinct words of several lists, sorted."""
+    return sorted(set().union(*lists))

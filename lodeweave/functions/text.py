@@ -46,7 +46,8 @@ def singular(token: Column) -> Column:
 
 def families(spark: SparkSession) -> DataFrame:
     """(token, canonical): the word families, a fixed small table to broadcast."""
-    return spark.createDataFrame([(word, family[0]) for family in L.FAMILIES for word in family], "token string, canonical string")
+    rows = ", ".join(f"('{word}', '{family[0]}')" for family in L.FAMILIES for word in family)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(token, canonical)")
 
 
 def canonical_term(token: Column) -> Column:

@@ -154,6 +154,54 @@ def grounded(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return x.select("query_id", "citations", "rejected", "unverified", ((F.col("invented") == 0) & (F.col("unverified") == 0) & ~empty).alias("grounded"))
 
 
+# What a caller may branch on.
+OK, INSUFFICIENT, UNAVAILABLE, MISCONFIGURED, MALFORMED = "ok", "insufficient_evidence", "llm_unavailable", "llm_configuration_error", "malformed_response"
+FAILURES = {"unavailable": UNAVAILABLE, "configuration": MISCONFIGURED}
+
+
+def answer_status(answers: DataFrame) -> DataFrame:
+    """answers (query_id, sources, failure, error, answer, insufficient) with status, and the fixed text where there is no evidence.
+
+    No sources: insufficient, the model's reply isn't looked at. failure: what the
+    provider ran into ('unavailable' or 'configuration'); error: why a reply isn't readable."""
+    none = F.col("sources") == 0
+    failed = F.coalesce(*[F.when(F.col("failure") == k, v) for k, v in FAILURES.items()])
+    status = F.when(none, INSUFFICIENT).when(F.col("failure").isNotNull(), F.coalesce(failed, F.lit(UNAVAILABLE))).when(F.col("error").isNotNull(), MALFORMED).when(F.col("insufficient"), INSUFFICIENT).otherwise(OK)
+    text = F.when(none, NO_ANSWER).when(status.isin(OK, INSUFFICIENT), F.coalesce("answer", F.lit(NO_ANSWER)))
+    return answers.withColumn("status", status).withColumn("answer", text)
+
+
+def answer_all(questions: DataFrame, evidence: DataFrame, provider, retries: int = 1) -> DataFrame:
+    """(query_id, answer, cited, insufficient, status) of a batch of questions.
+
+    provider: a function of a prompt Column that gives a reply Column (a registered
+    one or your own). A reply that can't be read is asked for once more with a note on
+    the format; questions without evidence never reach the provider."""
+    asked = questions.select("query_id", "question").join(evidence.select("query_id", "evidence", "sources"), "query_id", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    ready = asked.withColumn("prompt", prompt(F.col("question"), F.coalesce("evidence", F.lit(""))))
+    out = parse_replies(ready.withColumn("reply", F.when(F.col("sources") > 0, provider(F.col("prompt")))))
+    for _ in range(retries):
+        bad = F.col("parsed.error").isNotNull() & (F.col("sources") > 0)
+        again = provider(F.concat("prompt", F.lit("\n\nReply with one JSON object only.")))
+        out = parse_replies(out.withColumn("reply", F.when(bad, again).otherwise(F.col("reply"))))
+    flat = out.select("query_id", "sources", F.lit(None).cast("string").alias("failure"), "parsed.*")
+    return answer_status(flat).select("query_id", "answer", "cited", "insufficient", "status")
+
+
+PROVIDERS: dict = {}
+
+
+def register_provider(name: str, provider) -> None:
+    """provider: prompt Column -> reply Column."""
+    PROVIDERS[name] = provider
+
+
+def provider(name: str):
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name!r}; known: {sorted(PROVIDERS)}")
+    return PROVIDERS[name]
+
+
 def prompt(question: Column, evidence: Column) -> Column:
     return F.concat(F.lit("Question:\n"), question, F.lit("\n\nEvidence:\n"), evidence)
 

@@ -52,6 +52,12 @@ def blocks(documents: DataFrame, key: str = "document_id", text: str = "text") -
     return found.select(key, F.lit(0).alias("page_number"), "block_index", F.trim("text").alias("text"), carried.alias("section"))
 
 
+def renumbered(blocks: DataFrame, key: str = "document_id", order: str = "block_index", text: str = "text") -> DataFrame:
+    """blocks without blank ones, numbered 0, 1, 2 ... within each document."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return blocks.where(F.trim(F.coalesce(text, F.lit(""))) != "").withColumn(order, nth)
+
+
 def extraction_stats(pages: DataFrame) -> DataFrame:
     """Per document: pages, characters, native / ocr pages and the method they amount to."""
     x = pages.groupBy("document_id").agg(

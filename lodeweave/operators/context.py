@@ -168,5 +168,16 @@ def statistics(sources: DataFrame, omitted: DataFrame) -> DataFrame:
     return s.join(o, "query_id", "full").na.fill(0)
 
 
+def citations(sources: DataFrame) -> DataFrame:
+    """(query_id, number, chunk_id, document_id, page_number, also): what each source number stands for, for a citation list."""
+    return sources.select("query_id", "number", "chunk_id", "document_id", cited_page(F.col("page_number")).alias("page_number"), F.coalesce("also", F.array().cast("array<string>")).alias("also"))
+
+
+def also_appears_in(pool: DataFrame, repeats: DataFrame) -> DataFrame:
+    """pool with also: 'document p. page' of each survivor's repeats, in order. repeats: (query_id, chunk_id, document_id, page_number)."""
+    names = F.transform(F.array_sort(F.collect_set(F.struct("document_id", "page_number"))), lambda x: F.concat_ws(" p. ", x["document_id"].cast("string"), F.nullif(x["page_number"], F.lit(0)).cast("string")))
+    return pool.join(repeats.groupBy("query_id", "chunk_id").agg(names.alias("also")), ["query_id", "chunk_id"], "left").withColumn("also", F.coalesce("also", F.array().cast("array<string>")))
+
+
 def cited_page(page: Column) -> Column:
     return F.nullif(page, F.lit(0))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLASSIFIERS = {
@@ -66,9 +68,57 @@ def text_pipeline(text: str, vocabulary: int = 1500, chars: int = 1000) -> Pipel
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")])
 
 
+def top_weights(weights: DataFrame, k: int = 10, by: str = "class", name: str = "name", weight: str = "weight") -> DataFrame:
+    """The k greatest weights of each class, with their rank; ties to the smaller name."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(weight), name))
+    return weights.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """(class, name, weight) of a fitted linear model."""
+    last = model.stages[-1]
+    rows = last.coefficientMatrix.toArray().tolist() if hasattr(last, "coefficientMatrix") else [last.coefficients.toArray().tolist()]
+    found = [(i, n, float(w)) for i, row in enumerate(rows) for n, w in zip(features, row, strict=True)]
+    return SparkSession.active().createDataFrame(found, "class int, name string, weight double")
+
+
+def importances(names: Column, values: Column) -> Column:
+    """(name, importance) structs, least important first; ties by name."""
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(v.alias("importance"), n.alias("name")))
+    return F.transform(F.array_sort(pairs), lambda x: F.struct(x["name"].alias("name"), x["importance"].alias("importance")))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, out: str = "fold") -> DataFrame:
-    """Fold numbers by hash within the label: about equal shares, repeatable, no sort of a class."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(label).cast("string")), F.lit(folds)).cast("int"))
+    """Fold numbers by an MD5 of key and label: about equal shares of each class, repeatable, no sort of a class."""
+    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(label).cast("string")))
+    return df.withColumn(out, F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int"))
+
+
+def cross_validate(df: DataFrame, key: str, label: str, features: Sequence[str], kind: str = "logistic", folds: int = 5, **options) -> DataFrame:
+    """(fold, rows, accuracy): a model per fold, learnt from the other folds."""
+    rows = stratified_folds(df, key, label, folds).persist()
+    parts = []
+    for i in range(folds):
+        model = fit_classifier(rows.where(F.col("fold") != i), label, features, kind, **options)
+        hit = (F.col("prediction") == F.col(label)).cast("double")
+        parts.append(model.transform(rows.where(F.col("fold") == i)).agg(F.lit(i).alias("fold"), F.count("*").alias("rows"), F.avg(hit).alias("accuracy")))
+    return reduce(DataFrame.union, parts)
+
+
+def density(df: DataFrame, value: str, points: Sequence[float], bandwidth: float) -> DataFrame:
+    """(x, density): Gaussian kernel density at some points, one scan whose partial sums are one number a point."""
+    v = F.col(value).cast("double")
+    kernel = lambda x: F.avg(F.exp(-F.pow((v - x) / bandwidth, 2) / 2)) / (bandwidth * (2 * math.pi) ** 0.5)
+    got = df.where(v.isNotNull()).agg(F.array(*[F.struct(F.lit(float(x)).alias("x"), kernel(float(x)).alias("density")) for x in points]).alias("p"))
+    return got.select(F.inline("p"))
 
 
 # --- gradient descent -------------------------------------------------------------

@@ -187,7 +187,7 @@ def rerank(candidates: DataFrame, k: int, weight: float = 0.85) -> DataFrame:
     weight = max(0.0, min(1.0, weight))
     out = candidates.withColumn("rerank_score", lexical_relevance(F.col("text"), F.col("terms"), F.col("phrases")))
     blend = weight * scale_to_max(F.col("rerank_score"), ["query_id"]) + (1 - weight) * scale_to_max(F.col("rank_score"), ["query_id"])
-    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("final_score"), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc(F.round("final_score", 9)), "chunk_id")  # sums in another order may differ in the last bits
     return out.withColumn("final_score", blend).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -197,6 +197,29 @@ def score_floor(hits: DataFrame, floor: float, by: str = "query_id", score: str
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
 
 
+def simple_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0, metric: str = "cosine", key: str = "chunk_id", vector: str = "vector") -> DataFrame:
+    """(query_id, tenant_id, key, score, rank): the k best of the query's own tenant that reach the floor, renumbered. A blank tenant raises."""
+    named = queries.withColumn("tenant_id", F.when(F.trim("tenant_id") != "", F.col("tenant_id")).otherwise(F.raise_error(F.lit("a tenant is required"))))
+    return score_floor(batch_vector_top_k(vectors, named, k, metric, key, vector), floor, score="score")
+
+
+def as_candidates(hits: DataFrame) -> DataFrame:
+    """Hits or bare chunks as candidates: a missing score is 0, ranks follow score and chunk_id, missing chunk columns are filled."""
+    defaults = {"score": F.lit(0.0), "section": F.lit(""), "page_number": F.lit(0), "pinned": F.lit(False), "sources": F.array().cast("array<string>")}
+    out = hits.withColumns({c: v for c, v in defaults.items() if c not in hits.columns}).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    by = ["query_id"] if "query_id" in hits.columns else []
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")))
+
+
+EXPLAINED = ("semantic_score", "semantic_rank", "keyword_score", "keyword_rank", "fused_score", "rank_score", "rerank_score", "boosts", "sources")
+
+
+def project(hits: DataFrame, include_text: bool = True, explain: bool = False, digits: int = 6) -> DataFrame:
+    """The columns of a response: scores rounded, text and the parts of a score on demand."""
+    names = [c for c in hits.columns if (include_text or c != "text") and (explain or c not in EXPLAINED)]
+    return hits.select(*[F.round(c, digits).alias(c) if c.endswith("score") else F.col(c) for c in names])
+
+
 # --- near-duplicate collapse of a candidate pool -------------------------------------------
 
 KEPT = "query_id string, chunk_id string, rank int, duplicates array<string>"

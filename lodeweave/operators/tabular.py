@@ -23,6 +23,29 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df without the named columns; an unknown name raises."""
+    unknown = [n for n in names if n not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown columns {unknown}; known: {df.columns}")
+    return df.drop(*names)
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def last_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The last n rows in the given order, last one first."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def info(df: DataFrame) -> DataFrame:
+    """(position, column, type, present): a row per column, one scan."""
+    wide = df.agg(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count_if(~missing(df, f.name)).alias("present")) for i, f in enumerate(df.schema)]).alias("x"))
+    return wide.select(F.inline("x"))
+
+
 def missing(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c.isNull()
@@ -89,11 +112,25 @@ def scale_to_max(value: Column, by: Sequence[str]) -> Column:
     return F.when(most > 1e-12, up / most).otherwise(0.0)
 
 
+def running_before(rows: DataFrame, order: str, amount: Column, out: str) -> DataFrame:
+    """rows with the sum of amount over all rows before them by order (unique): range-partitioned, so no task has all.
+
+    A range's rows are summed within the range, on top of the ranges before it (one number each)."""
+    ranged = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).withColumn("__v", amount).persist()
+    sums = {r["__p"]: r["s"] for r in ranged.groupBy("__p").agg(F.sum("__v").alias("s")).collect()}  # a row per range
+    starts, total = [], 0
+    for p in sorted(sums):
+        starts += [F.lit(p), F.lit(total)]
+        total += sums[p]
+    start = F.element_at(F.create_map(*starts), F.col("__p")) if starts else F.lit(0)
+    own = F.coalesce(F.sum("__v").over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn(out, start + own).drop("__p", "__v")
+
+
 def label_encode(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Whole numbers for the distinct values in lexicographic order; the (small) dictionary is ranked apart and joined."""
+    """Whole numbers for the distinct values in lexicographic order; the dictionary is numbered apart and joined."""
     values = df.select(name).where(F.col(name).isNotNull()).distinct()
-    codes = values.withColumn(out, F.row_number().over(Window.orderBy(name)) - 1)
-    return df.join(codes, name, "left")
+    return df.join(running_before(values, name, F.lit(1), out).withColumn(out, F.col(out).cast("int")), name, "left")
 
 
 def map_values(c: Column, mapping: Mapping) -> Column:
@@ -184,10 +221,10 @@ def regression_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by tied ranks: counts per distinct score, then one running sum over those."""
+    """Area under the ROC curve by tied ranks: counts per distinct score, then a running sum over ranges of those."""
     per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("won", F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    per = running_before(per, "s", F.col("n") - F.col("p"), "below")
+    won = per.withColumn("won", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     return won.agg((F.sum("won") / (F.sum("p") * F.sum(F.col("n") - F.col("p")))).alias("auc"))
 
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
-from lodeweave.functions.questions import question_table
 from lodeweave.operators import answers, chunking, context
 from lodeweave.operators import retrieval as r
 from lodeweave.operators.tabular import scope
 from lodeweave.plans.registry import query, spread, table
 from lodeweave.plans.text import WORDS_SQL
 
-ASKED = [(f"q{i}", f"src{i}", text) for i, text in enumerate(["What is the thnt and therehe ation?", "tell me about que de ción", "der die und ungen", "clause 4 of the ention", "\"of the\" and onea"])]
 TERMS = ["thnt", "ation", "que", "de", "der", "die", "und", "ing", "tion"]
 
 
@@ -81,21 +79,44 @@ def filtered_topk(spark, d):
     return _vector(spark, d, "cosine", scope("3", tenant_column="label", page_range=(400, 50), page_column="vec_id"))
 
 
-_TWO = """, sem AS (SELECT source, doc_id, n_chars / 40000.0 AS score, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+# the semantic side: documents that have an embedding, against one query vector per tenant
+_TWO = """, qv AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0),
+    vs AS (SELECT d.source, d.doc_id, greatest(0, least(1, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), q))) AS score FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id, qv),
+    sem AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM vs),
     key AS (SELECT source, doc_id, score / max(score) OVER (PARTITION BY source) AS score, rank FROM k WHERE rank <= 18),
     m AS (SELECT coalesce(s.source, k.source) AS source, coalesce(s.doc_id, k.doc_id) AS doc_id, s.score AS ss, s.rank AS sr, k.score AS ks, k.rank AS kr
           FROM (SELECT * FROM sem WHERE rank <= 18) s FULL JOIN key k ON s.source = k.source AND s.doc_id = k.doc_id)"""
 
 
-def _semantic(spark, d, k=18):
-    """A stand-in for vector hits: ranked by length."""
-    x = chunks(spark, d).select(F.col("tenant_id").alias("query_id"), "tenant_id", "chunk_id", (F.length("text") / 40000.0).alias("score"))
-    return r.ranked(x, k)
+def _vectors(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("tenant_id"), "doc_id", F.format_string("d%07d", "doc_id").alias("chunk_id"))
+    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").drop("doc_id")
 
 
-def _semantic_table(spark, d):
-    x = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.format_string("d%07d", "doc_id").alias("chunk_id"), (F.col("n_chars") / 40000.0).alias("score"))
-    return r.ranked(x, 18)
+def _vector_queries(spark, d):
+    """One vector, put to every tenant."""
+    one = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("query_vector"))
+    tenants = table(spark, d, "documents").select(F.col("source").alias("tenant_id")).distinct()
+    return tenants.crossJoin(F.broadcast(one)).withColumn("query_id", F.col("tenant_id"))  # one row
+
+
+def _semantic_table(spark, d, k=18):
+    return r.batch_vector_top_k(_vectors(spark, d), _vector_queries(spark, d), k).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(_BM25 + _TWO + " SELECT source AS query_id, source AS tenant_id, printf('d%07d', doc_id) AS chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM sem WHERE rank <= 10 AND score >= 0.1")
+def simple_search(spark, d):
+    out = r.simple_search(_vectors(spark, d), _vector_queries(spark, d), 10, 0.1)
+    return out.select("query_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_BM25 + _TWO + """ SELECT source AS query_id, printf('d%07d', doc_id) AS chunk_id, (CASE WHEN kr IS NULL THEN '' ELSE 'keyword ' END) || (CASE WHEN sr IS NULL THEN '' ELSE 'semantic ' END) AS sources,
+    round(coalesce(ss, 0), 6) AS semantic_score, coalesce(sr, 0)::INTEGER AS semantic_rank, round(coalesce(ks, 0), 6) AS keyword_score, coalesce(kr, 0)::INTEGER AS keyword_rank FROM m""")
+def merged_lists(spark, d):
+    m = r.merge(_semantic_table(spark, d), _keyword(spark, d))
+    names = F.array_join(F.transform("sources", lambda x: F.concat(x, F.lit(" "))), "")
+    num = lambda c: F.coalesce(c, F.lit(0))
+    return m.select("query_id", "chunk_id", names.alias("sources"), *[F.round(F.coalesce(f"{c}_score", F.lit(0.0)), 6).alias(f"{c}_score") for c in ("semantic", "keyword")], *[num(f"{c}_rank").alias(f"{c}_rank") for c in ("semantic", "keyword")])
 
 
 @query(_BM25 + _TWO + """, f AS (SELECT *, coalesce(0.6 / (60 + sr), 0) + coalesce(0.4 / (60 + kr), 0) AS v FROM m)
@@ -109,6 +130,12 @@ def weighted_fusion(spark, d):
     return r.fuse(_semantic_table(spark, d), _keyword(spark, d), "weighted").select("query_id", "chunk_id", F.round("fused_score", 6).alias("fused_score"))
 
 
+@query(_BM25 + _TWO + """, f AS (SELECT *, coalesce(0.6 / (60 + sr), 0) + coalesce(0.4 / (60 + kr), 0) AS v FROM m)
+    SELECT source AS query_id, printf('d%07d', doc_id) AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY v DESC, doc_id)::INTEGER AS rank FROM f""")
+def fused_order(spark, d):
+    return r.ranked(r.fuse(_semantic_table(spark, d), _keyword(spark, d)), 36, score="fused_score").select("query_id", "chunk_id", "rank")
+
+
 @query(_BM25 + _TWO + " SELECT source AS query_id, round(avg(CASE WHEN sr IS NOT NULL AND kr IS NOT NULL THEN 1.0 ELSE 0 END), 4) AS agreement FROM m GROUP BY source")
 def agreement(spark, d):
     return r.agreement(r.merge(_semantic_table(spark, d), _keyword(spark, d)))
@@ -141,15 +168,27 @@ def lexical_rerank(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", r.lexical_relevance(F.col("text"), terms, F.array().cast("array<string>")).alias("score"))
 
 
-@query()
+_BLENDED = _BM25 + _TWO + f""", f AS (SELECT *, coalesce(0.6 / (60 + sr), 0) + coalesce(0.4 / (60 + kr), 0) AS v FROM m),
+    h AS (SELECT DISTINCT d.doc_id FROM documents d JOIN words w USING (doc_id) WHERE w.term IN ({_WORD_LIST}) AND w.pos <= len(regexp_extract_all(lower(string_split(d.text, chr(10))[1]), '[a-z0-9]+(?:[.\\-/][a-z0-9]+)*'))),
+    b AS (SELECT source, doc_id, v / max(v) OVER (PARTITION BY source) + CASE WHEN sr IS NOT NULL AND kr IS NOT NULL THEN 0.05 ELSE 0 END + CASE WHEN h.doc_id IS NOT NULL THEN 0.05 ELSE 0 END AS s FROM f LEFT JOIN h USING (doc_id)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS rank FROM b),
+    p AS (SELECT doc_id, term, min(seq) AS first FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM words) WHERE term IN ({_WORD_LIST}) GROUP BY ALL),
+    g AS (SELECT doc_id, count(*) AS found, max(first) - min(first) AS gap FROM p GROUP BY doc_id),
+    e AS (SELECT o.source, o.doc_id, o.s, round(0.65 * coalesce(found, 0) / {len(TERMS)} + 0.2 * CASE WHEN found IS NULL THEN 0 WHEN found = 1 OR gap <= 0 THEN 1 ELSE least(1, 60.0 / gap) END, 6) AS r FROM o LEFT JOIN g USING (doc_id) WHERE o.rank <= 18),
+    z AS (SELECT source, doc_id, 0.85 * coalesce(r / nullif(max(r) OVER (PARTITION BY source), 0), 0) + (1 - 0.85) * coalesce(s / nullif(max(s) OVER (PARTITION BY source), 0), 0) AS final FROM e)"""
+
+
+@query(_BLENDED + " SELECT source AS query_id, printf('d%07d', doc_id) AS chunk_id, rank::INTEGER AS rank, round(final, 6) AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(final, 9) DESC, doc_id) AS rank FROM z) WHERE rank <= 6")
 def blended_rerank(spark, d):
     return r.rerank(r.boost(_wide(spark, d), 18), 6).select("query_id", "chunk_id", "rank", F.round("final_score", 6).alias("final_score"))
 
 
 @query()
 def hybrid_search(spark, d):
+    """The whole path for every tenant: BM25 and vectors, fusion, boosts, collapse, rerank."""
     c = chunks(spark, d)
-    out = r.hybrid_search(c, r.postings(c, "section"), r.corpus_stats(c, "section"), question_table(spark, ASKED), _semantic(spark, d).join(question_table(spark, ASKED).select(F.col("tenant_id").alias("query_id"), F.col("query_id").alias("q")), "query_id").drop("query_id").withColumnRenamed("q", "query_id"))
+    asked = _every_tenant(spark, d)
+    out = r.hybrid_search(c, r.postings(c, "section", asked=asked), r.corpus_stats(c, "section"), asked, _semantic_table(spark, d))
     return out.select("query_id", "tenant_id", "chunk_id", "rank", F.round("final_score", 6).alias("final_score"), "sources", "duplicates")
 
 

@@ -143,5 +143,10 @@ def scalar_metadata(entries: Column, reserved: tuple[str, ...] = ("document_id",
     return F.map_filter(entries, lambda k, v: ~k.isin(*reserved) & v.isNotNull())
 
 
+def flat_columns(df: DataFrame, entries: str, keys: list[str], prefix: str = "meta_") -> DataFrame:
+    """df with a column per key of a string map, null where a row lacks it."""
+    return df.withColumns({f"{prefix}{k}": F.try_element_at(entries, F.lit(k)) for k in keys})
+
+
 def safe_name(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]", "_", name)[:128]

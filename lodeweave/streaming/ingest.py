@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import ids
@@ -54,3 +54,20 @@ def job_progress(items: DataFrame) -> DataFrame:
     done = F.when(F.col("total") > 0, F.round(F.col("processed") / F.col("total"), 4)).otherwise(1.0)
     state = F.when(F.col("processed") < F.col("total"), "running").when(F.col("succeeded") == 0, "failed").otherwise("completed")
     return x.withColumn("progress", done).withColumn("state", state)
+
+
+def evicted_jobs(jobs: DataFrame, keep: int) -> DataFrame:
+    """Jobs to forget so that keep remain: the oldest finished ones; running jobs never go. jobs: (job_id, finished_at)."""
+    w = Window.partitionBy(F.col("finished_at").isNull()).orderBy("finished_at", "job_id")  # a bounded history
+    excess = jobs.agg(F.greatest(F.lit(0), F.count("*") - keep).alias("excess"))
+    ranked = jobs.withColumn("nth", F.row_number().over(w)).where("finished_at is not null")
+    return ranked.crossJoin(F.broadcast(excess)).where("nth <= excess").select("job_id", "finished_at")
+
+
+def evicted_entries(entries: DataFrame, limit: int) -> DataFrame:
+    """Cache entries to drop, least recently used first, so that the sizes of the others fit limit; the newest always stays.
+
+    entries: (name, used_at, size), a bounded catalogue."""
+    w = Window.orderBy(F.desc("used_at"), F.desc("name"))
+    kept = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return entries.withColumn("__kept", kept).withColumn("__nth", F.row_number().over(w)).where((F.col("__kept") > limit) & (F.col("__nth") > 1)).drop("__kept", "__nth")
