@@ -38,12 +38,6 @@ def boosted_regressor(spark, d):
     return t.regression_metrics(model.transform(x), "y", "prediction")
 
 
-@query()
-def linear_regression(spark, d):
-    x = table(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1e4).alias("y"))
-    return t.regression_metrics(ml.fit_regressor(x, "y", ["l_quantity", "l_discount"]).transform(x), "y", "prediction")
-
-
 @query()
 def linear_svm(spark, d):
     x = _orders(spark, d)
@@ -67,18 +61,6 @@ def text_classifier(spark, d):
     return t.classification_report(out, "label", "p")
 
 
-@query()
-def gradient_descent(spark, d):
-    x = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    w, b = ml.descend(x, "y", ["x"], rate=0.5, steps=5)
-    return x.select("x", (F.col("x") * w[0] + b).alias("predicted"))
-
-
-@query("SELECT doc_id, (hash_part)::INTEGER AS fold FROM (SELECT doc_id, ('0x' || substr(md5(cast(doc_id AS VARCHAR)), 1, 8))::BIGINT % 100 // 20 AS hash_part FROM labels)")
-def cross_validation_folds(spark, d):
-    return table(spark, d, "labels").select("doc_id", F.floor(t.hash_percent(F.col("doc_id")) / 20).cast("int").alias("fold"))
-
-
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e, v FROM v)
     SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS top, list_position(v, list_max(v))::INTEGER - 1 AS best, round(1 / (1 + exp(-v[1])), 6) AS sig FROM e""")
 def softmax_argmax(spark, d):

@@ -110,17 +110,6 @@ def page_number_lines(spark, d):
     return _lines(spark, d).where(tx.is_page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_LINES}, k AS (SELECT source, doc_id, trim(regexp_replace(lower(x[1]), '\s+', ' ', 'g')) AS key FROM lines),
-    n AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-    c AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k WHERE length(key) BETWEEN 4 AND 120 GROUP BY ALL)
-    SELECT source, key, pages FROM c JOIN n USING (source) WHERE pages >= greatest(2, floor(total * 0.04))""")
-def running_lines(spark, d):
-    k = _lines(spark, d).select("source", "doc_id", tx.fingerprint(F.col("line")).alias("key")).where("key <> ''")
-    n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("all"))
-    c = k.distinct().groupBy("source", "key").agg(F.count("*").alias("pages"))
-    return c.join(n, "source").where(F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("all") * 0.04))).select("source", "key", "pages")
-
-
 @query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations""")
 def section_carry(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
