@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeweave.llm.common import with_row_id
 
@@ -33,9 +34,9 @@ WINDOW = 6
 FILTER_BITS = 22
 LEAST_TOKENS = 2  # an item of one token would match every text that has the word
 BROADCAST_WINDOWS = 500_000  # windows of a benchmark that go to every executor; more are dealt by hash
-MARK = "\0"  # before a capitalised word that begins a sentence
+MARK = "\0"  # before a word that begins a sentence
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\0?[^\W\d_]+")
-SENTENCE = re.compile(r"(?:\A|[.!?:;\n])\W*[^\W\d_]")
+SENTENCE = re.compile(r"((?:\A|[.!?:;\n])\W*)([^\W\d_])")
 UNITS = frozenset(
     "mg g kg t mm cm m km in ft yd mi ml l oz lb lbs percent cents dollars dollar euros euro pounds pound "
     "second seconds minute minutes hour hours day days week weeks month months year years miles mile meters "
@@ -49,11 +50,6 @@ STRETCH = 16_384  # windows read at a time, as a window has up to 2**WINDOW read
 SPREAD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
-def _mark(m: re.Match) -> str:
-    found = m.group()
-    return found[:-1] + MARK + found[-1] if found[-1].isupper() else found
-
-
 def _part(codes: np.ndarray) -> np.ndarray:
     return codes ^ (codes >> np.uint64(7))
 
@@ -76,8 +72,9 @@ class _Known(dict):
         elif token[0].isupper():
             code = NAME
         else:  # the low bit marks what is a unit after a number
-            marked = token[0] == MARK
-            code = _literal(token) + (token[marked:].lower() in UNITS) + INITIAL * marked
+            code = _literal(token) + (token.lstrip(MARK).lower() in UNITS)
+            if token[0] == MARK and token[1].isupper():
+                code += INITIAL
         self[token] = code
         return code
 
@@ -90,10 +87,10 @@ class Templates:
 
     def codes(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Tokens, their codes, and which of them begin a sentence with a capital, so that they may be names."""
-        tokens, known = TOKEN.findall(SENTENCE.sub(_mark, text.replace(MARK, "\1"))) if text else [], self.known
+        tokens, known = TOKEN.findall(SENTENCE.sub(rf"\1{MARK}\2", text.replace(MARK, "\1"))) if text else [], self.known
         if len(known) > WORDS_CACHED:
             known.clear()
-        codes = np.array(list(map(known.__getitem__, tokens)), dtype=np.uint64)
+        codes = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         initial = codes >= INITIAL
         codes &= np.uint64(INITIAL - 1)
         after = np.zeros(len(codes), dtype=bool)
@@ -162,6 +159,26 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
 
+def _laid_end_to_end(batches: Iterator[pa.RecordBatch], make: Templates) -> Iterator[tuple]:
+    """(keys, tokens, codes, initial, owner, starts) of texts together, about STRETCH tokens at a time; owner: the text of each token."""
+    held, size = [], 0
+
+    def laid():
+        keys, tokens, codes, initial = zip(*held, strict=True)
+        sizes = np.array([len(c) for c in codes])
+        return keys, list(itertools.chain.from_iterable(tokens)), np.concatenate(codes), np.concatenate(initial), np.repeat(np.arange(len(held)), sizes), (np.cumsum(sizes) - sizes).tolist()
+
+    for b in batches:
+        for *key, t in zip(*(c.to_pylist() for c in b.columns[:-1]), b.columns[-1], strict=True):
+            held.append((key, *make.codes(t.as_py())))
+            size += len(held[-1][1])
+            if size >= STRETCH:
+                yield laid()
+                held, size = [], 0
+    if held:
+        yield laid()
+
+
 def item_windows(items: DataFrame, text: str, key: str) -> DataFrame:
     """Windows of every benchmark item; an item of fewer than WINDOW tokens is one window of its own length."""
     kind = dict(items.dtypes)[key]
@@ -195,8 +212,8 @@ def consistent(hits: list[dict]) -> list[dict]:
     return [hit for hit in hits if all(s["a"] == s["b"] for s in hit["slots"]) or all((s["a"], s["b"]) in follows for s in hit["slots"])]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str = "__rid", item_text: str = "text", item_key: str = "item_id", min_coverage: float = 0.4) -> DataFrame:
-    """(row, item, windows, matched, first_pos): the pairs found, by the document's row number.
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str = "__rid", item_text: str = "text", item_key: str = "item_id", label: str | None = None, min_coverage: float = 0.4) -> DataFrame:
+    """(row, label, item, windows, matched, first_pos): the pairs found, by the document's row number and its value of the label column.
 
     Null, empty and too short texts match nothing; an item without words matches
     its exact copies only, however short it is, if it has LEAST_TOKENS tokens. Ties don't
@@ -212,54 +229,56 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row: str
         bits.setdefault(r["n"], np.zeros(1 << FILTER_BITS, dtype=bool))[r["s"]] = True
     shared = spark.sparkContext.broadcast({n: np.packbits(b) for n, b in bits.items()})
 
-    def rows(batch: pa.RecordBatch, make: Templates, tables: dict[int, np.ndarray]) -> Iterator[tuple]:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens, codes, initial = make.codes(t)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        make, tables = Templates(), {n: np.unpackbits(b).astype(bool) for n, b in sorted(shared.value.items())}
+        for keys, tokens, codes, initial, owner, starts in _laid_end_to_end(batches, make):
             for n, table in tables.items():
                 for at, h, names in make.readings(tokens, codes, initial, n):
-                    keep = table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    yield from _rows(k, tokens, codes, n, at[keep], h[keep], names[keep])
+                    hit = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                    hit = hit[owner[at[hit]] == owner[at[hit] + n - 1]]  # windows don't cross texts
+                    for who, row in zip(owner[at[hit]].tolist(), _rows(None, tokens, codes, n, at[hit], h[hit], names[hit]), strict=True):
+                        yield *keys[who], *row[1:3], row[3] - starts[who], *row[4:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, tables = Templates(), {n: np.unpackbits(b).astype(bool) for n, b in sorted(shared.value.items())}
-        for b in batches:
-            yield from _batches(rows(b, make, tables), ["k", "h", "n", "pos", "places", "slots"], [pa.int64(), *KINDS])
+        yield from _batches(rows(batches), ["k", "label", "h", "n", "pos", "places", "slots"], [pa.int64(), kinds["label"], *KINDS])
 
-    hits = docs.select(F.col(f"`{row}`"), F.col(f"`{text}`")).mapInArrow(run, f"k long, {COLUMNS}").drop("places")
+    asked = docs.select(F.col(f"`{row}`").alias("k"), (F.col(f"`{label}`") if label else F.lit(0)).alias("label"), F.col(f"`{text}`").alias("t"))
+    kinds = {f.name: to_arrow_type(f.dataType) for f in asked.schema}
+    hits = asked.mapInArrow(run, f"k long, label {dict(asked.dtypes)['label']}, {COLUMNS}").drop("places")
     few = windows.count() <= BROADCAST_WINDOWS
     d, i = hits.alias("d"), (F.broadcast(windows) if few else windows).alias("i")
     pairs = d.join(i, (F.col("d.h") == F.col("i.h")) & (F.col("d.n") == F.col("i.n")) & (F.size("d.slots") == F.size("i.slots"))).select(
-        F.col("d.k").alias("row"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.worded").alias("worded"), F.col("i.pos").alias("pos"), F.col("i.has_words").alias("has_words"),
+        F.col("d.k").alias("row"), F.col("d.label").alias("label"), F.col("i.k").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.windows").alias("windows"), F.col("i.worded").alias("worded"), F.col("i.pos").alias("pos"), F.col("i.has_words").alias("has_words"),
         F.arrays_zip(F.col("i.places").alias("p"), F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
     )
     lines = pairs.groupBy("row", "item", "diagonal").agg(
-        F.first("windows").alias("windows"), F.first("worded").alias("worded"), F.collect_set(F.struct("pos", "has_words", "slots")).alias("hits")
+        F.first("label").alias("label"), F.first("windows").alias("windows"), F.first("worded").alias("worded"), F.collect_set(F.struct("pos", "has_words", "slots")).alias("hits")
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [consistent(hits.as_py()) for hits in b.column(5)]
+            found = [consistent(hits.as_py()) for hits in b.column(6)]
             places = [sorted({hit["pos"] for hit in hits}) for hits in found]
             templates = [sorted({hit["pos"] for hit in hits if hit["has_words"]}) for hits in found]
-            kinds = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(places, kinds), pa.array(templates, kinds)], names=["row", "item", "diagonal", "windows", "worded", "places", "templates"])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(places, kind), pa.array(templates, kind)], names=["row", "label", "item", "diagonal", "windows", "worded", "places", "templates"])
 
-    kind = dict(items.dtypes)[item_key]
-    judged = lines.select("row", "item", "diagonal", "windows", "worded", "hits").mapInArrow(judge, f"row long, item {kind}, diagonal int, windows int, worded int, places array<int>, templates array<int>")
+    item_kind, label_kind = dict(items.dtypes)[item_key], dict(asked.dtypes)["label"]
+    judged = lines.select("row", "label", "item", "diagonal", "windows", "worded", "hits").mapInArrow(judge, f"row long, label {label_kind}, item {item_kind}, diagonal int, windows int, worded int, places array<int>, templates array<int>")
     together = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     best = judged.where(F.size("places") > 0).groupBy("row", "item").agg(
-        F.first("windows").alias("windows"), F.first("worded").alias("worded"), together("places").alias("matched"), together("templates").alias("templates"),
+        F.first("label").alias("label"), F.first("windows").alias("windows"), F.first("worded").alias("worded"), together("places").alias("matched"), together("templates").alias("templates"),
         F.min(F.col("diagonal") + F.col("places")[0]).alias("first_pos"),
     )
     enough = (F.col("matched") >= F.col("windows") * min_coverage) | ((F.col("worded") > 0) & (F.col("templates") >= F.col("worded") * min_coverage))
-    return best.where(enough).select("row", "item", "windows", "matched", "first_pos")
+    return best.where(enough).select("row", "label", "item", "windows", "matched", "first_pos")
 
 
 def report(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:
     """(key, item_id, windows, matched, first_pos) of contaminated documents, a row per pair; clean ones don't appear."""
-    rows = with_row_id(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    found = contaminated(rows, items, text, **more)
-    return rows.select(F.col("__rid").alias("row"), key).join(found, "row").select(key, F.col("item").alias("item_id"), "windows", "matched", "first_pos")
+    rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))  # read once: numbers need not last
+    found = contaminated(rows, items, "__text", label="__key", **more)
+    return found.select(F.col("label").alias(key), F.col("item").alias("item_id"), "windows", "matched", "first_pos")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **more) -> DataFrame:
