@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int, name: str = "spark.sql.execution.arrow.maxRecordsPerBatch") -> Iterator[None]:
+    """Jobs run within it hand Python at most so many rows at a time: for rows of hundreds of KB each."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Remove what stash() wrote, once nothing reads it any more, and the shuffle files of finished steps.
 

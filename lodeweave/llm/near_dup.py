@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import discard, stash, with_row_id
+from lodeweave.llm.common import discard, small_batches, stash, with_row_id
 from lodeweave.llm.components import components
 
 BANDS, ROWS = 39, 4
@@ -264,7 +264,8 @@ class NearDuplicates:
         pairs = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         t = self.texts
         both = pairs.join(t.select(F.col("__rid").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("__rid").alias("v"), F.col("t").alias("tv")), "v")
-        return stash(_linked(both, self.percent, self.shingle), "verified")
+        with small_batches(both.sparkSession, 32):  # a row holds two texts, or two blocks of sketches
+            return stash(_linked(both, self.percent, self.shingle), "verified")
 
     def first_links(self) -> DataFrame:
         """Every member of a bucket with the bucket's smallest one."""
