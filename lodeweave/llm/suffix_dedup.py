@@ -37,7 +37,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -48,7 +47,7 @@ from lodeweave.llm.common import discard, join_counted, stash, with_row_id
 LENGTH = 400
 HOT = 2048
 BATCH_BYTES = 1 << 18
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 19  # about 80 bytes of arrays each
 TOKENS = 4  # packed tokens of a window, after the leading one
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
@@ -467,39 +466,6 @@ def passages(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[
     return [(lo, hi) for lo, hi in spans if len(data[lo:hi].split()) >= min_words] if min_words else spans
 
 
-SPAN_LIST = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-
-
-def _span_lists(runs: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"lo": lo, "hi": hi} for lo, hi in r] for r in runs], SPAN_LIST)
-
-
-def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, min_words: int = 0) -> DataFrame:
-    """docs (with __rid) without text, plus __text (null where it was), __spans (merged byte intervals removed), __kept (the remaining bytes).
-
-    A null text is empty; texts under length bytes lose nothing. Strings are judged
-    on the input: of equal passages every copy goes, within one text too. With
-    min_words, intervals with fewer words stay. Repeated rows are separate texts, so
-    they remove each other. An empty table stays empty."""
-    packed = _packed(docs, text)
-    joined = packed.join(repeated(docs, packed.select("__rid", "__z"), text, length, hot), "__rid", "left")
-    names = [c for c in joined.columns if c not in ("spans", "__z")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                column = lambda c: part.column(part.schema.names.index(c))
-                texts = [None if z is None else unpack.decompress(z) for z in column("__z").to_pylist()]
-                runs = [passages(t or b"", merged(s), min_words) for t, s in zip(texts, column("spans").to_pylist(), strict=True)]
-                kept = [kept_bytes(t or b"", r) for t, r in zip(texts, runs, strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(texts, pa.binary()).cast(pa.string()), _span_lists(runs), pa.array(kept, pa.binary())], names=[*names, "__text", "__spans", "__kept"])
-
-    return joined.mapInArrow(run, f"{fields}, __text string, __spans array<struct<lo: int, hi: int>>, __kept binary")
-
-
 def _fragments(length: int):
     """Arrow function over rows (__rid, packed text, spans): (rid, base, text) of merged intervals of at least length bytes."""
 
@@ -558,12 +524,31 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
 
 
 def clean(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, min_words: int = 0) -> DataFrame:
-    """docs with repeated passages cut from text; characters of which some bytes went go whole."""
-    out = dedup(with_row_id(docs), text, length, hot, min_words)
+    """docs with repeated passages cut from text; characters of which some bytes went go whole.
 
-    @F.pandas_udf("string")
-    def readable(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    A null text stays null; texts under length bytes lose nothing. Strings are judged
+    on the input: of equal passages every copy goes, within one text too. With
+    min_words, passages with fewer words stay. Repeated rows are separate texts, so
+    they remove each other. An empty table stays empty."""
+    rows = with_row_id(docs)
+    packed = _packed(rows, text)
+    joined = packed.join(repeated(rows, packed.select("__rid", "__z"), text, length, hot), "__rid", "left")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    others = [c for c in docs.columns if c != text]
 
-    kept = F.when(F.col("__text").isNull(), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(readable("__kept"))
-    return out.select(*[kept.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                column = lambda c: part.column(part.schema.names.index(c))
+                made = []
+                for z, spans in zip(column("__z"), column("spans").to_pylist(), strict=True):
+                    data = unpack.decompress(z.as_py()) if z.is_valid else None
+                    cut = passages(data, merged(spans), min_words) if data else []
+                    made.append(kept_bytes(data, cut).decode("utf-8", "ignore").encode() if cut else data)
+                texts = pa.array(made, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == text else column(c) for c in docs_columns], names=docs_columns)
+
+    docs_columns = docs.columns
+    return joined.select("__z", "spans", *[F.col(f"`{c}`") for c in others]).mapInArrow(run, fields)
