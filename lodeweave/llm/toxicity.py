@@ -102,15 +102,28 @@ def margin(table: np.ndarray, bias: float, slots: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = 6_000, max_chars: int = 100_000) -> Weights:
     """Learn from at most max_rows labelled rows, the first by a hash of the key, of max_chars at most.
 
-    Where a key has several labels, the largest counts. No labelled row gives weights of zero."""
+    Their texts are hashed on the executors; the driver gets one list of slots at a
+    time and keeps at most max_rows of them. Longer texts don't teach, but are scored
+    whole. Where a key has several labels, the largest counts; equal texts of one key
+    count once. No labelled row gives weights of zero."""
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(f"`{key}`").alias("k")).agg(F.max(label).cast("int").alias("y"))
     drawn = marked.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(f"length(t) <= {max_chars}")
-    rows = rows.join(F.broadcast(drawn), "k")  # max_rows bounds the broadcast
-    make, model = Features(), Ftrl()
-    got = sorted({(zlib.crc32(r["t"].encode("utf-8", "surrogatepass")), r["k"], r["y"], r["t"]) for r in rows.toLocalIterator()})
+    rows = rows.join(F.broadcast(drawn), "k").select("k", "y", "t")  # max_rows bounds the broadcast
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Features()
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            order = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
+            slots = [make(t).astype("<u4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(order, pa.int64()), pa.array(slots, pa.binary())], names=["k", "y", "h", "slots"])
+
+    hashed = rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, y int, h long, slots binary")
+    got = sorted({(r["h"], r["k"], r["y"], bytes(r["slots"])) for r in hashed.toLocalIterator()})
+    model = Ftrl()
     model.l1 = 1 + (model.l1 - 1) * min(1.0, len(got) / 5_000)  # few rows support less shrinkage
-    return model.fit([(make(t), y) for _, _, y, t in got]).compact()
+    return model.fit([(np.frombuffer(slots, "<u4").astype(np.int64), y) for _, _, y, slots in got]).compact()
 
 
 def score(docs: DataFrame, weights: Weights, text: str = "text", name: str = "score") -> DataFrame:
