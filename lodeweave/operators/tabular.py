@@ -59,14 +59,40 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None, positive_on
     return long.where("n > 0") if positive_only else long
 
 
+def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, v): a row per present number."""
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(~missing(df, c), F.col(f"`{c}`").cast("double")).alias("v")) for c in columns])))
+    return rows.where(F.col("v").isNotNull())
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by..., q array<double>): exact quantiles of each group's present values, interpolated linearly.
+
+    Values are counted, the counts range-partitioned by group and value; a value is
+    then found by the ranks it covers. So a group may be of any size, and no task
+    holds all its values. A group without values has no row."""
+    v = F.col(f"`{value}`").cast("double")
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__x")).agg(F.count("*").alias("__n"))
+    ranked = running_before(counted.withColumn("__o", F.struct(*by, "__x")), "__o", F.col("__n"), "__before").drop("__o")
+    sizes = ranked.groupBy(*by).agg(F.min("__before").alias("__start"), F.sum("__n").alias("__size"))
+    sizes = sizes.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    rows = ranked.join(sizes, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__by_{c}`")) for c in by], F.lit(True)))
+    first = F.col("__before") - F.col("__start")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < first + F.col("__n")), F.col("__x")))
+    place = [(F.col("__size") - 1) * float(q) for q in shares]
+    ends = [x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"__lo{i}"), at(F.ceil(p)).alias(f"__hi{i}"), F.max(p - F.floor(p)).alias(f"__f{i}"))]
+    found = rows.groupBy(*by).agg(*ends)
+    return found.select(*by, F.array(*[F.col(f"__lo{i}") * (1 - F.col(f"__f{i}")) + F.col(f"__hi{i}") * F.col(f"__f{i}") for i in range(len(shares))]).alias("q"))
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max): sample deviation, exact linear quartiles, NaN as missing."""
     columns = list(columns or numeric_columns(df))
     v = {c: F.when(~missing(df, c), F.col(f"`{c}`").cast("double")) for c in columns}
-    stats = lambda c: F.struct(F.count(v[c]).alias("count"), F.avg(v[c]).alias("mean"), F.stddev_samp(v[c]).alias("std"), F.min(v[c]).alias("min"), F.percentile(v[c], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v[c]).alias("max"))
+    stats = lambda c: F.struct(F.count(v[c]).alias("count"), F.avg(v[c]).alias("mean"), F.stddev_samp(v[c]).alias("std"), F.min(v[c]).alias("min"), F.max(v[c]).alias("max"))
     long = df.agg(*[stats(c).alias(c) for c in columns]).unpivot([], columns, "column", "s")
-    s = F.col("s")
-    return long.select("column", s["count"].alias("count"), s["mean"].alias("mean"), s["std"].alias("std"), s["min"].alias("min"), s["q"][0].alias("q25"), s["q"][1].alias("q50"), s["q"][2].alias("q75"), s["max"].alias("max"))
+    q = F.broadcast(quantiles(long_form(df, columns), ["column"], "v", (0.25, 0.5, 0.75)))  # a row a column
+    return long.join(q, "column", "left").select("column", "s.count", "s.mean", "s.std", "s.min", *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)], "s.max")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -93,7 +119,8 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
 def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing numbers replaced by the column's exact median (one row, broadcast)."""
     columns = list(columns or numeric_columns(df))
-    medians = df.agg(*[F.median(F.when(~missing(df, c), F.col(f"`{c}`"))).alias(f"__m_{c}") for c in columns])
+    found = quantiles(long_form(df, columns), ["column"], "v", (0.5,))
+    medians = found.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"__m_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(medians))
     return out.select(*[F.when(missing(df, c), F.col(f"`__m_{c}`")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 

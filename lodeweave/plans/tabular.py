@@ -99,8 +99,9 @@ def histogram(spark, d):
 @query("""SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3,
           round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY 1""")
 def box_stats(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = table(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
+    e = table(spark, d, "events")
+    x = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    x = x.join(t.quantiles(e, ["event_type"], "value", (0.25, 0.5, 0.75)), "event_type")
     return x.select("event_type", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)], F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
 
 

@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,15 @@ def test_running_sums_over_ranges(spark):
         assert got[i] == total
         total += i % 7
     assert tabular.running_before(rows.limit(0), "id", F.col("v"), "before").count() == 0
+
+
+def test_quantiles_of_groups(spark):
+    values = {"a": [3.0, 1.0, 1.0, 1.0, 9.0], None: [2.0], "b": [5.0, 7.0]}
+    rows = [(g, v) for g, vs in values.items() for v in [*vs, None, float("nan")]] + [("none", None)]
+    x = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["q"] for r in tabular.quantiles(x, ["g"], "v", (0, 0.25, 0.5, 0.9, 1)).collect()}
+    assert got.keys() == values.keys()
+    for g, vs in values.items():
+        assert got[g] == pytest.approx(np.quantile(vs, (0, 0.25, 0.5, 0.9, 1)).tolist())
+    assert tabular.quantiles(x.limit(0), ["g"], "v", (0.5,)).count() == 0
+    assert tabular.fill_median(x.where("v is null"), ["v"]).where("v is not null").count() == 0
