@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than cores is dealt out before costly expressions; any larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path that driver and executors share: below the checkpoint folder, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lodeweave-steps/{uuid.uuid4().hex}"

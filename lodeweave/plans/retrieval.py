@@ -8,8 +8,9 @@ from lodeweave.functions import text as tx
 from lodeweave.operators import answers, chunking, context
 from lodeweave.operators import retrieval as r
 from lodeweave.operators.tabular import scope
-from lodeweave.plans.registry import query, spread, table
+from lodeweave.plans.registry import SQL, query, scratch, spread, table
 from lodeweave.plans.text import WORDS_SQL
+from lodeweave.sources import store
 
 TERMS = ["thnt", "ation", "que", "de", "der", "die", "und", "ing", "tion"]
 
@@ -44,6 +45,15 @@ def bm25_topk(spark, d):
     return _keyword(spark, d).select("tenant_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(SQL["bm25_topk"])
+def stored_index_topk(spark, d):
+    """The same answers from an index that is written once and read by term."""
+    path, asked = scratch(spark), _every_tenant(spark, d)
+    store.write_index(chunks(spark, d), path)
+    out = store.search_index(store.read_index(spark, path), asked, 18)
+    return out.select("tenant_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {WORDS_SQL} SELECT source AS tenant_id, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM words GROUP BY ALL")
 def document_frequency(spark, d):
     return r.postings(chunks(spark, d)).groupBy("tenant_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

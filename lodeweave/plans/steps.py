@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,18 +10,12 @@ from lodeweave.functions import text as tx
 from lodeweave.operators import answers, chunking, cleaning, context, ml
 from lodeweave.operators import retrieval as r
 from lodeweave.operators import tabular as t
-from lodeweave.plans.registry import query, table
+from lodeweave.plans.registry import query, scratch, table
 from lodeweave.sources import readers
 from lodeweave.sources.store import ChunkStore
 from lodeweave.streaming import ingest
 
 
-def scratch(spark) -> str:
-    """A new path that driver and executors share: below the checkpoint folder, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/lodeweave-steps/{uuid.uuid4().hex}"
-
-
 # --- tabular -----------------------------------------------------------------------
 
 

@@ -28,13 +28,13 @@ def run_ingest(stream: DataFrame, store: ChunkStore, checkpoint: str, sizes: chu
     """Start the query; each batch replaces the slices of its documents, so a replayed batch changes nothing."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        tenants = [r["tenant_id"] for r in batch.select("tenant_id").distinct().collect()]  # a batch's tenants
-        for tenant in tenants:
-            docs = batch.where(F.col("tenant_id") == tenant)
-            made = chunking.chunk(chunking.document_blocks(docs), sizes).join(docs.select("tenant_id", "document_id", "digest"), ["tenant_id", "document_id"])
-            old = store.slice(tenant)
-            keep = None if old is None else old.join(docs.select("document_id"), "document_id", "left_anti")
-            store._replace(tenant, made if keep is None else keep.unionByName(made, allowMissingColumns=True))
+        batch = batch.persist()
+        made = chunking.chunk(chunking.document_blocks(batch), sizes).join(batch.select("tenant_id", "document_id", "digest"), ["tenant_id", "document_id"]).persist()  # once, however many tenants
+        for tenant in [r["tenant_id"] for r in batch.select("tenant_id").distinct().collect()]:  # a batch's tenants
+            own = F.col("tenant_id") == tenant
+            store.replace_documents(tenant, batch.where(own), made.where(own))
+        made.unpersist()
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

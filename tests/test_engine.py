@@ -9,7 +9,7 @@ from lodeweave.functions import embeddings, segments
 from lodeweave.operators import answers, chunking, cleaning, context, retrieval
 from lodeweave.operators import tabular as t
 from lodeweave.sources import readers
-from lodeweave.sources.store import ChunkStore, index_documents
+from lodeweave.sources.store import ChunkStore, index_documents, search_index
 from lodeweave.streaming import ingest
 
 QUERY = "query_id string, tenant_id string, terms array<string>, phrases array<string>, numbers array<string>"
@@ -161,6 +161,39 @@ def test_store_upsert_delete_isolation(spark, tmp_path):
         store.fetch("")
 
 
+def test_store_loses_no_write(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    row = lambda c: spark.createDataFrame([("a", "d" + c, c, 0, "x")], "tenant_id string, document_id string, chunk_id string, chunk_index int, text string")
+    store.upsert("a", row("1"))
+    calls = []
+
+    def late(old):
+        if not calls:
+            ChunkStore(spark, store.root).upsert("a", row("2"))  # another writer comes first
+        calls.append(1)
+        return old.unionByName(row("3"))
+
+    assert store.change("a", late) == 3 and len(calls) == 2
+    assert [r["chunk_id"] for r in store.fetch("a").collect()] == ["1", "2", "3"]
+    assert store.vacuum("a") == 2 and store.count("a") == 3 and len(list((tmp_path / "store/slices").glob("[!.]*"))) == 1
+    assert store.vacuum("nobody") == 0 and store.version("nobody") == 0
+
+
+def test_stored_keywords_follow_the_version(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", "d1", "c1", 0, "red apples"), ("a", "d2", "c2", 0, "green pears")], "tenant_id string, document_id string, chunk_id string, chunk_index int, text string")
+    asked = spark.createDataFrame([("q", "a", ["apple", "pear"], [], [])], QUERY)
+    assert store.keywords("a") is None
+    store.upsert("a", rows)
+    found = lambda: {r["chunk_id"]: r["raw_score"] for r in search_index(store.keywords("a"), asked, 5).collect()}
+    first = found()
+    assert first.keys() == {"c1", "c2"} and found() == first
+    direct = retrieval.keyword_search(retrieval.postings(rows), retrieval.corpus_stats(rows), asked, 5)
+    assert first == pytest.approx({r["chunk_id"]: r["raw_score"] for r in direct.collect()})
+    store.delete_document("a", "d1")
+    assert found().keys() == {"c2"}
+
+
 def test_indexing_skips_unchanged(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     docs = spark.createDataFrame([("a", "d1", TEXT), ("a", "d2", "short text")], "tenant_id string, document_id string, text string")
