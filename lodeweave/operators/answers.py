@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import time
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -217,6 +219,63 @@ def trim_history(messages: DataFrame, limit: int = 6000, least: int = 2, by: str
     return x.where((F.col("__suffix") <= limit) | (F.col("__back") <= least)).drop("__suffix", "__back")
 
 
+def retrying(call: Callable, tries: int = 3, wait: float = 1.5, transient: tuple = (ConnectionError, TimeoutError), sleep: Callable = time.sleep) -> Callable:
+    """call, asked again after transient errors, waiting twice as long each time; the last error is raised."""
+
+    def run(*args):
+        for i in range(tries):
+            try:
+                return call(*args)
+            except transient:
+                if i + 1 == tries:
+                    raise
+                sleep(wait * 2**i)
+
+    return run
+
+
+def chat_turn(history: DataFrame, said: DataFrame, provider, limit: int = 6000) -> DataFrame:
+    """history (conv_id, turn, role, text) with what each user said and the reply to it.
+
+    said: (conv_id, text), one row a conversation. The provider, prompt Column to reply
+    Column, sees the trimmed history; where its reply is null the user's turn is taken back."""
+    names = ["conv_id", "turn", "role", "text"]
+    last = history.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    turn = (F.coalesce("last", F.lit(-1)) + 1).cast(history.schema["turn"].dataType)
+    new = said.join(last, "conv_id", "left").select("conv_id", turn.alias("turn"), F.lit("user").alias("role"), "text")
+    seen = trim_history(history.select(*names).join(new, "conv_id", "left_semi").unionByName(new), limit)
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))  # limit bounds the list
+    asked = seen.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
+    replied = asked.select("conv_id", provider(F.col("prompt")).alias("reply")).where("reply is not null")
+    both = new.join(replied, "conv_id").select("conv_id", F.inline(F.array(
+        F.struct("turn", F.lit("user").alias("role"), "text"),
+        F.struct((F.col("turn") + 1).cast(history.schema["turn"].dataType).alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text")),
+    )))
+    return history.select(*names).unionByName(both)
+
+
+def language_tags(text: Column, hindi: list[str], english: list[str]) -> Column:
+    """(word, lang) structs of the blank-separated words: HI, EN or UNK."""
+    bare = lambda w: F.regexp_replace(F.lower(w), r"(?U)[^\w]", "")
+    tag = lambda w: F.when(bare(w).isin(hindi), "HI").when(bare(w).isin(english), "EN").otherwise("UNK")
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.struct(w.alias("word"), tag(w).alias("lang")))
+
+
+def sentence_report(text: Column, probability: Column, labels: list[str], hindi: list[str], english: list[str]) -> Column:
+    """A struct (label, confidence, scores, word_tags, mix, error) of a sentence and its class probabilities; a blank text only has an error."""
+    p = F.transform(probability, lambda x: F.round(x.cast("double"), 3))
+    best = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(probability, F.array_max(probability)).cast("int"))
+    tags = language_tags(text, hindi, english)
+    share = lambda lang: F.round(F.size(F.filter(tags, lambda t: t["lang"] == lang)) / F.size(tags), 3)
+    full = F.struct(
+        best.alias("label"), F.array_max(p).alias("confidence"), F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p).alias("scores"), tags.alias("word_tags"),
+        F.struct(share("HI").alias("hi"), share("EN").alias("en"), share("UNK").alias("unk")).alias("mix"), F.lit(None).cast("string").alias("error"),
+    )
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return F.when(~blank, full).otherwise(F.named_struct(*[x for n in ("label", "confidence", "scores", "word_tags", "mix") for x in (F.lit(n), F.lit(None))], F.lit("error"), F.lit("no text")))
+
+
 def language_mix(words: Column, hindi: list[str], english: list[str]) -> Column:
     """Shares of words tagged hi, en and unknown."""
     share = lambda test: F.size(F.filter(words, test)) / F.greatest(F.lit(1), F.size(words))

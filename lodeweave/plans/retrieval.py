@@ -270,7 +270,8 @@ def quote_check(spark, d):
     return answers.check_quotes(a, c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("number"), "text"))
 
 
-@query()
+@query("""SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN trim(text) END AS answer, CASE WHEN text IS NOT NULL AND turn > 0 THEN [turn::INTEGER] ELSE []::INTEGER[] END AS cited, false AS insufficient, '' AS interpretation, true AS recovered,
+    CASE WHEN text IS NULL THEN 'no ''answer'' field' WHEN trim(text) = '' THEN 'empty answer' END AS error FROM conversations WHERE role = 'assistant'""")
 def parsed_replies(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'")
     reply = F.concat(F.lit("Here: ```json\n"), F.to_json(F.struct(F.col("text").alias("answer"), F.array(F.struct(F.concat(F.lit("Source "), F.col("turn").cast("string")).alias("source"))).alias("citations"))), F.lit("\n```"))

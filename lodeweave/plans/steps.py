@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodeweave.functions import counters
 from lodeweave.functions import lexicon as L
 from lodeweave.functions import text as tx
 from lodeweave.operators import answers, chunking, cleaning, context, ml
@@ -462,3 +463,45 @@ def log2_loss(spark, d):
 def standard_pixels(spark, d):
     raw = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("double"))
     return table(spark, d, "embeddings").select("vec_id", F.transform(ml.standard_pixels(raw, 0.5, 0.25), lambda x: F.round(x, 6)).alias("pixels"))
+
+
+# --- counters, sentences, conversations -------------------------------------------------------
+
+
+@query("SELECT doc_id, greatest(1, floor(n_chars * 0.75))::INTEGER AS words FROM documents")
+def word_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", counters.words_for_tokens(F.col("n_chars")).alias("words"))
+
+
+@query()
+def exact_token_count(spark, d):
+    import public_tokenizers
+
+    count = counters.counter(spark, "exact", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return table(spark, d, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
+
+
+_ENGLISH, _HINDI = ["the", "and", "of", "to", "in", "is", "a"], ["hai", "ka", "ki", "nahi", "aur"]
+_SQL_LIST = {lang: ", ".join(f"'{w}'" for w in words) for lang, words in (("EN", _ENGLISH), ("HI", _HINDI))}
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS label, list_filter(regexp_split_to_array(trim('hai ' || text), '\s+'), lambda w: w <> '') AS w FROM conversations),
+    t AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{M}}\p{{N}}_]', '', 'g')) AS bare FROM p)
+    SELECT conv_id, turn, label, 0.6 AS confidence, round(len(list_filter(bare, lambda x: x IN ({_SQL_LIST["HI"]}))) / len(w), 3) AS hi, round(len(list_filter(bare, lambda x: x IN ({_SQL_LIST["EN"]}))) / len(w), 3) AS en FROM t""")
+def sentence_predictions(spark, d):
+    """The report of a sentence, from class probabilities as a model gives them (here set by the turn)."""
+    one = lambda i: F.when(F.col("turn") % 3 == i, 0.6).otherwise(0.2)
+    report = answers.sentence_report(F.concat(F.lit("hai "), "text"), F.array(one(0), one(1), one(2)), ["negative", "neutral", "positive"], _HINDI, _ENGLISH)
+    return table(spark, d, "conversations").select("conv_id", "turn", report.alias("r")).select("conv_id", "turn", "r.label", "r.confidence", "r.mix.hi", "r.mix.en")
+
+
+@query("""WITH n AS (SELECT conv_id, max(turn) + 1 AS turn FROM conversations GROUP BY conv_id), h AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, 'user', 'Go on.' FROM n),
+    s AS (SELECT *, sum(greatest(1, length(coalesce(text, '')) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM h),
+    p AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM s WHERE used <= 120 OR back <= 2 GROUP BY conv_id),
+    r AS (SELECT conv_id, md5(prompt) AS reply FROM p WHERE length(prompt) % 4 <> 0)
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, 'user', 'Go on.' FROM n JOIN r USING (conv_id) UNION ALL SELECT conv_id, turn + 1, 'assistant', reply FROM n JOIN r USING (conv_id)""")
+def chat_turns(spark, d):
+    """One more turn of every conversation; the provider fails on a quarter of the prompts."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = c.select("conv_id").distinct().withColumn("text", F.lit("Go on."))
+    return answers.chat_turn(c, said, lambda p: F.when(F.length(p) % 4 != 0, F.md5(p)), 120)

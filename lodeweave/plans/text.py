@@ -196,7 +196,10 @@ def cleaned_documents(spark, d):
     return clean_pages(x)
 
 
-@query()
+@query(r"""WITH a AS (SELECT conv_id, turn, string_split(regexp_replace(lower(coalesce(text, '')), 'https?://\S+|www\.\S+|[@#][\p{L}\p{M}\p{N}_]+', ' ', 'g'), '') AS c FROM conversations),
+    b AS (SELECT conv_id, turn, list_filter(c, lambda x, i: i < 3 OR x = chr(10) OR x <> c[i - 1] OR x <> c[i - 2]) AS c FROM a),
+    w AS (SELECT conv_id, turn, regexp_split_to_array(trim(regexp_replace(array_to_string(c, ''), '[^\p{L}\p{M}\p{N}_\s]|[\p{Nd}_]', ' ', 'g')), '\s+') AS w FROM b)
+    SELECT conv_id, turn, array_to_string(list_filter(w, lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'of')), ' ') AS text FROM w""")
 def social_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.clean_social(F.col("text"), ["the", "and", "of"]).alias("text"))
 

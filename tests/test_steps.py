@@ -1,5 +1,6 @@
 """Queries of the smaller steps against their SQL, on the smallest tables, and their refusals."""
 
+import base64
 import glob
 import math
 import os
@@ -84,3 +85,53 @@ def test_quantiles_of_groups(spark):
         assert got[g] == pytest.approx(np.quantile(vs, (0, 0.25, 0.5, 0.9, 1)).tolist())
     assert tabular.quantiles(x.limit(0), ["g"], "v", (0.5,)).count() == 0
     assert tabular.fill_median(x.where("v is null"), ["v"]).where("v is not null").count() == 0
+
+
+def test_exact_counts_equal_the_library(spark):
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    from lodeweave.functions import counters
+
+    texts = ["", "two words", "Zwölf Bücher, 3,14 €", "  blanks\n\n and <|endoftext|> marks", None]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = [len(own.encode_ordinary(t or "")) for t in texts]
+    for name, pattern in (("byte_bpe_50k.tiktoken", public.PATTERN), ("byte_bpe_50k.json", None)):
+        count = counters.counter(spark, "exact", public.path(name), pattern)
+        assert [r["n"] for r in x.select("i", count(F.col("text")).alias("n")).orderBy("i").collect()] == want
+    with pytest.warns(UserWarning, match="estimates"):
+        assert counters.counter(spark, "exact", "/nowhere.json") is counters.counter(spark)
+    with pytest.raises(ValueError):
+        counters.counter(spark, "other")
+
+
+def test_retries_wait_longer_each_time():
+    waits, calls = [], []
+
+    def call(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise ConnectionError
+        return x
+
+    assert answers.retrying(call, sleep=waits.append)(7) == 7 and waits == [1.5, 3.0]
+    with pytest.raises(TimeoutError):
+        answers.retrying(lambda: (_ for _ in ()).throw(TimeoutError), sleep=waits.append)()
+    with pytest.raises(ValueError):
+        answers.retrying(lambda: int("x"), sleep=waits.append)()
+    assert waits == [1.5, 3.0, 1.5, 3.0]
+
+
+def test_failed_turns_are_taken_back(spark):
+    h = spark.createDataFrame([("a", 0, "user", "hi"), ("a", 1, "assistant", "yes")], "conv_id string, turn int, role string, text string")
+    said = spark.createDataFrame([("a", "more"), ("b", "first")], "conv_id string, text string")
+    got = answers.chat_turn(h, said, lambda p: F.when(~F.contains(p, F.lit("first")), p))
+    assert [tuple(r) for r in got.orderBy("conv_id", "turn").collect()][2:] == [("a", 2, "user", "more"), ("a", 3, "assistant", "user: hi\nassistant: yes\nuser: more")]
+
+
+def test_sentence_report(spark):
+    x = spark.createDataFrame([("Kya hai the plan?", [0.2, 0.8]), ("  ", [0.5, 0.5]), (None, None)], "text string, p array<double>")
+    full, blank, null = [r[0] for r in x.select(answers.sentence_report(F.col("text"), F.col("p"), ["bad", "good"], ["hai"], ["the"])).collect()]
+    assert (full["label"], full["confidence"], full["scores"]) == ("good", 0.8, {"bad": 0.2, "good": 0.8})
+    assert [tuple(t) for t in full["word_tags"]] == [("Kya", "UNK"), ("hai", "HI"), ("the", "EN"), ("plan?", "UNK")] and tuple(full["mix"]) == (0.25, 0.25, 0.5)
+    assert blank["label"] is None and blank["error"] == null["error"] == "no text"
