@@ -10,6 +10,11 @@ def _doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def usable(v: Column) -> Column:
+    """Neither null nor with null or non-finite parts."""
+    return F.coalesce(F.forall(_doubles(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

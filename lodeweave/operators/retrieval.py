@@ -182,10 +182,20 @@ def lexical_relevance(text: Column, terms: Column, phrases: Column, window: int
     return bind(firsts, score)
 
 
-def rerank(candidates: DataFrame, k: int, weight: float = 0.85) -> DataFrame:
-    """final_score blends scaled rerank and rank scores; pinned first; k per query."""
+RERANKERS = {"lexical": lexical_relevance}
+
+
+def register_reranker(name: str, score) -> None:
+    """score: Columns text, terms, phrases -> Column of relevance (a Pandas UDF over your own model, say)."""
+    RERANKERS[name] = score
+
+
+def rerank(candidates: DataFrame, k: int, weight: float = 0.85, by: str = "lexical") -> DataFrame:
+    """final_score blends scaled rerank and rank scores; pinned first; k per query. by: a registered reranker."""
+    if by not in RERANKERS:
+        raise ValueError(f"unknown reranker {by!r}; known: {sorted(RERANKERS)}")
     weight = max(0.0, min(1.0, weight))
-    out = candidates.withColumn("rerank_score", lexical_relevance(F.col("text"), F.col("terms"), F.col("phrases")))
+    out = candidates.withColumn("rerank_score", RERANKERS[by](F.col("text"), F.col("terms"), F.col("phrases")))
     blend = weight * scale_to_max(F.col("rerank_score"), ["query_id"]) + (1 - weight) * scale_to_max(F.col("rank_score"), ["query_id"])
     w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc(F.round("final_score", 9)), "chunk_id")  # sums in another order may differ in the last bits
     return out.withColumn("final_score", blend).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

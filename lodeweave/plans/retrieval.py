@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
-from lodeweave.operators import answers, chunking, context
+from lodeweave.operators import ann, answers, chunking, context
 from lodeweave.operators import retrieval as r
 from lodeweave.operators.tabular import scope
 from lodeweave.plans.registry import SQL, query, scratch, spread, table
@@ -59,6 +59,15 @@ def document_frequency(spark, d):
     return r.postings(chunks(spark, d)).groupBy("tenant_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query()
+def ann_topk(spark, d):
+    """The ten likeliest nearest vectors of every hundredth vector, from an index of all."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    centres = ann.fit_centres(e, key="vec_id")
+    return ann.search(ann.build(e, centres), centres, asked, 10, probes=max(8, len(centres) // 2), key="vec_id", by=None, same=F.col("vec_id") == F.col("query_id"))
+
+
 _VECTOR = """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE {1}),
     s AS (SELECT vec_id, {0} AS score FROM v, q) SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10"""
 

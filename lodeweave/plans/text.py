@@ -204,6 +204,15 @@ def social_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.clean_social(F.col("text"), ["the", "and", "of"]).alias("text"))
 
 
-@query()
+_QUOTED = {n: getattr(L, n).replace("'", "''") for n in ("NUMBERED_HEADING", "LABELLED_HEADING", "BARE_HEADING", "CAPITAL_HEADING")}
+_NAMES = {n: ", ".join(f"'{x}'" for x in getattr(L, n)) for n in ("SECTION_NAMES", "FURNITURE_WORDS")}
+
+
+@query(rf"""WITH {_LINES}, s AS (SELECT doc_id, x[2] - 1 AS pos, trim(x[1], ' ') AS s FROM lines), w AS (SELECT *, len(regexp_split_to_array(s, '\s+')) AS words, rtrim(lower(string_split(s, ' ')[1]), ':.') AS first FROM s),
+    h AS (SELECT *, rtrim(substr(trim(regexp_replace(s, '\s+', ' ', 'g'), ' :.–-'), 1, 100), ' ') AS label FROM w WHERE s <> '' AND length(s) <= 120 AND words <= 14 AND first NOT IN ({_NAMES["FURNITURE_WORDS"]})
+        AND NOT (suffix(s, ';') OR suffix(s, ',') OR (suffix(s, '.') AND words > 8 AND NOT regexp_matches(s, '{_QUOTED["NUMBERED_HEADING"]}')))
+        AND (regexp_matches(s, '{_QUOTED["LABELLED_HEADING"]}') OR regexp_matches(s, '{_QUOTED["NUMBERED_HEADING"]}') OR regexp_matches(s, '{_QUOTED["BARE_HEADING"]}') OR (regexp_matches(s, '{_QUOTED["CAPITAL_HEADING"]}') AND words <= 12)
+            OR rtrim(lower(s), ':.') IN ({_NAMES["SECTION_NAMES"]}) OR (suffix(s, ':') AND words <= 8 AND regexp_matches(s, '^\p{{Lu}}'))))
+    SELECT doc_id, pos::INTEGER AS "at", label AS section FROM h WHERE label <> ''""")
 def heading_labels(spark, d):
     return _lines(spark, d).select("doc_id", "at", tx.section_label(F.col("line")).alias("section")).where("section is not null")

@@ -197,6 +197,20 @@ class ChunkStore:
         return read_index(self.spark, place)
 
 
+BACKENDS: dict[str, Callable[[SparkSession, str], ChunkStore]] = {"parquet": ChunkStore}
+
+
+def register_backend(name: str, build: Callable[[SparkSession, str], ChunkStore]) -> None:
+    """build: (session, root) -> an object with the methods of ChunkStore."""
+    BACKENDS[name] = build
+
+
+def open_store(spark: SparkSession, root: str, backend: str = "parquet") -> ChunkStore:
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}; known: {sorted(BACKENDS)}")
+    return BACKENDS[backend](spark, root)
+
+
 def write_index(chunks: DataFrame, path: str, section: str | None = None) -> None:
     """Postings of chunks, range-partitioned and sorted by tenant and term, and the statistics of each tenant."""
     retrieval.postings(chunks, section).repartitionByRange("tenant_id", "term").sortWithinPartitions("tenant_id", "term").write.parquet(f"{path}/postings")
@@ -231,6 +245,16 @@ def same_content(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
     return x.select("tenant_id", "document_id", twin.alias("twin")).where("twin is not null")
 
 
+def indexed_twins(store: ChunkStore, tenant: str, docs: DataFrame) -> DataFrame:
+    """same_content of docs (tenant_id, document_id, text) and what the tenant has stored: documents to report before they are indexed again under another id."""
+    from lodeweave.functions.ids import digest
+
+    own = docs.where(scope(tenant)).select("tenant_id", "document_id", digest(F.col("text"), None).alias("digest"))
+    old = store.slice(tenant)
+    known = own.where("false") if old is None or "digest" not in old.columns else old.select("tenant_id", "document_id", "digest").distinct()
+    return same_content(own, known)
+
+
 def index_documents(store: ChunkStore, tenant: str, docs: DataFrame, sizes=None) -> dict[str, int]:
     """Skip what is unchanged, chunk the rest, replace their slices in one step. docs: (tenant_id, document_id, text)."""
     from lodeweave.functions.ids import digest

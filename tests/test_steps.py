@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import answers, retrieval, tabular
+from lodeweave.operators import ann, answers, retrieval, tabular
 from lodeweave.plans import steps
 from lodeweave.plans.registry import QUERIES, SQL
+from lodeweave.sources import store as stores
 from lodeweave.streaming import ingest
 
 TABLES = "/root/testdata/sf0.001"
@@ -135,3 +136,42 @@ def test_sentence_report(spark):
     assert (full["label"], full["confidence"], full["scores"]) == ("good", 0.8, {"bad": 0.2, "good": 0.8})
     assert [tuple(t) for t in full["word_tags"]] == [("Kya", "UNK"), ("hai", "HI"), ("the", "EN"), ("plan?", "UNK")] and tuple(full["mix"]) == (0.25, 0.25, 0.5)
     assert blank["label"] is None and blank["error"] == null["error"] == "no text"
+
+
+def test_cells_find_what_the_exact_search_finds(spark):
+    rng = np.random.default_rng(3)
+    hubs = rng.normal(size=(20, 8))
+    rows = [(f"{i:04}", "t", (hubs[i % 20] + 0.1 * rng.normal(size=8)).tolist()) for i in range(600)]
+    odd = [("null", "t", None), ("nan", "t", [float("nan")] * 8), ("gap", "t", [None] * 8)]
+    x = spark.createDataFrame(rows + odd, "chunk_id string, tenant_id string, vector array<double>")
+    q = x.where("chunk_id in ('0007', '0123', '0599', 'nan')").selectExpr("chunk_id as query_id", "tenant_id", "vector as query_vector")
+    centres = ann.fit_centres(x, cells=16)
+    index = ann.build(x, centres)
+    assert index.count() == 603 and index.where("cell is null").count() == 0
+    found = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    exact = found(retrieval.batch_vector_top_k(x.where("chunk_id < 'a'"), q.where("query_id < 'a'"), 5))
+    assert found(ann.search(index, centres, q, 5, probes=16)) == exact
+    assert len(found(ann.search(index, centres, q, 5, probes=3)) & exact) >= 0.9 * len(exact)
+    none = ann.fit_centres(x.limit(0))
+    assert ann.search(ann.build(x.limit(0), none), none, q, 5).count() == 0
+
+
+def test_registries_name_what_they_know(spark, tmp_path):
+    with pytest.raises(ValueError, match="lexical"):
+        retrieval.rerank(None, 3, by="other")
+    with pytest.raises(ValueError, match="parquet"):
+        stores.open_store(spark, str(tmp_path), "other")
+    retrieval.register_reranker("shorter", lambda text, terms, phrases: 1 / F.length(text))
+    x = spark.createDataFrame([("q", "long", "a long text", 1.0, False, [], []), ("q", "short", "text", 1.0, False, [], [])], "query_id string, chunk_id string, text string, rank_score double, pinned boolean, terms array<string>, phrases array<string>")
+    assert [r["chunk_id"] for r in retrieval.rerank(x, 2, by="shorter").orderBy("rank").collect()] == ["short", "long"]
+    del retrieval.RERANKERS["shorter"]
+
+
+def test_twins_of_what_is_stored(spark, tmp_path):
+    store = stores.open_store(spark, str(tmp_path / "s"))
+    docs = spark.createDataFrame([("a", "d1", "same words here")], "tenant_id string, document_id string, text string")
+    assert stores.indexed_twins(store, "a", docs).count() == 0
+    stores.index_documents(store, "a", docs)
+    assert stores.indexed_twins(store, "a", docs).count() == 0  # itself isn't a twin
+    again = docs.withColumn("document_id", F.lit("d2"))
+    assert [r["twin"] for r in stores.indexed_twins(store, "a", again).collect()] == ["d1"]
