@@ -168,6 +168,24 @@ def statistics(sources: DataFrame, omitted: DataFrame) -> DataFrame:
     return s.join(o, "query_id", "full").na.fill(0)
 
 
+def warnings(sources: DataFrame, omitted: DataFrame, min_sources: int = 0) -> DataFrame:
+    """(query_id, warnings array<string>): what to know before a context is used; reported, never enforced.
+
+    no_sources stands alone; else few_sources (under min_sources), shortened:<tokens
+    lost>, left_out:<sources that met no budget> and ocr, in this order. Every query
+    that has a source or an omission has a row."""
+    s = sources.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("truncated"), F.col("original_tokens") - F.col("text_tokens"))).alias("lost"), F.max(F.coalesce("ocr", F.lit(False))).alias("ocr"),
+    )
+    o = omitted.groupBy("query_id").agg(F.count_if(F.col("reason").isin("budget_exhausted", "too_small_to_truncate")).alias("out"))
+    x = s.join(o, "query_id", "full").na.fill(0, ["n", "out"])
+    some = F.array_compact(F.array(
+        F.when(F.col("n") < min_sources, "few_sources"), F.when(F.col("lost").isNotNull(), F.concat_ws(":", F.lit("shortened"), F.col("lost").cast("string"))),
+        F.when(F.col("out") > 0, F.concat_ws(":", F.lit("left_out"), F.col("out").cast("string"))), F.when(F.col("ocr"), "ocr"),
+    ))
+    return x.select("query_id", F.when(F.col("n") == 0, F.array(F.lit("no_sources"))).otherwise(some).alias("warnings"))
+
+
 def citations(sources: DataFrame) -> DataFrame:
     """(query_id, number, chunk_id, document_id, page_number, also): what each source number stands for, for a citation list."""
     return sources.select("query_id", "number", "chunk_id", "document_id", cited_page(F.col("page_number")).alias("page_number"), F.coalesce("also", F.array().cast("array<string>")).alias("also"))

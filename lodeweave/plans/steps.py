@@ -271,6 +271,16 @@ def context_rollup(spark, d):
     return context.statistics(_sources(spark, d), omitted)
 
 
+@query(f"""WITH {_FITTED}, s AS (SELECT query_id, count(*) AS n, count(*) FILTER (n_chars % 2 = 1) AS cut, max(CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END) AS ocr FROM sources GROUP BY query_id), o AS (SELECT query_id, count(*) AS out FROM chosen WHERE verdict = 'max_sources' GROUP BY query_id)
+    SELECT query_id, CASE WHEN n IS NULL THEN 'no_sources' ELSE concat_ws(' ', CASE WHEN n < 30 THEN 'few_sources' END, CASE WHEN cut > 0 THEN 'shortened:' || (cut * 7) END, CASE WHEN out > 0 THEN 'left_out:' || out END, CASE WHEN ocr = 1 THEN 'ocr' END) END AS warnings
+    FROM (SELECT DISTINCT query_id FROM chosen) LEFT JOIN s USING (query_id) LEFT JOIN o USING (query_id)""")
+def context_warnings(spark, d):
+    """The source limit plays the budget here."""
+    _, omitted = context.select_evidence(_hits(spark, d), 0.02, 40)
+    omitted = omitted.withColumn("reason", F.when(F.col("reason") == "max_sources", "budget_exhausted").otherwise(F.col("reason")))
+    return context.warnings(_sources(spark, d), omitted, 30).select("query_id", F.array_join("warnings", " ").alias("warnings"))
+
+
 @query(f"""WITH {_FITTED}, a AS (SELECT s.query_id, s.chunk_id, list_sort(list(DISTINCT h.document_id || CASE WHEN h.page_number = 0 THEN '' ELSE ' p. ' || h.page_number END)) AS also FROM sources s JOIN hits h ON h.query_id = s.query_id AND h.doc_id % 50 = s.doc_id % 50 AND h.doc_id <> s.doc_id GROUP BY ALL)
     SELECT s.query_id, s.number, s.chunk_id, s.document_id, coalesce(nullif(s.page_number, 0), -1) AS page_number, coalesce(array_to_string(a.also, '; '), '') AS also FROM sources s LEFT JOIN a USING (query_id, chunk_id)""")
 def citation_list(spark, d):

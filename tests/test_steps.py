@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import ann, answers, retrieval, tabular
+from lodeweave.operators import ann, answers, context, retrieval, tabular
 from lodeweave.plans import steps
 from lodeweave.plans.registry import QUERIES, SQL
 from lodeweave.sources import store as stores
@@ -175,3 +175,10 @@ def test_twins_of_what_is_stored(spark, tmp_path):
     assert stores.indexed_twins(store, "a", docs).count() == 0  # itself isn't a twin
     again = docs.withColumn("document_id", F.lit("d2"))
     assert [r["twin"] for r in stores.indexed_twins(store, "a", again).collect()] == ["d1"]
+
+
+def test_context_warnings(spark):
+    sources = spark.createDataFrame([("a", True, 90, 60, False), ("a", False, 10, 10, None), ("b", False, 5, 5, True)], "query_id string, truncated boolean, original_tokens int, text_tokens int, ocr boolean")
+    omitted = spark.createDataFrame([("a", "budget_exhausted"), ("b", "below_floor"), ("c", "empty")], "query_id string, reason string")
+    got = {r["query_id"]: r["warnings"] for r in context.warnings(sources, omitted, 2).collect()}
+    assert got == {"a": ["shortened:30", "left_out:1"], "b": ["few_sources", "ocr"], "c": ["no_sources"]}
