@@ -17,6 +17,7 @@ document is contaminated by an item when such windows cover at least
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import zlib
 from collections import Counter
@@ -35,8 +36,32 @@ FILTER_BITS = 22
 LEAST_TOKENS = 2  # an item of one token would match every text that has the word
 BROADCAST_WINDOWS = 500_000  # windows of a benchmark that go to every executor; more are dealt by hash
 MARK = "\0"  # before a word that begins a sentence
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\0?[^\W\d_]+")
-SENTENCE = re.compile(r"((?:\A|[.!?:;\n])\W*)([^\W\d_])")
+TOKEN = re.compile(r"\0?[^\W\d_]+|\d+(?:[.,:/]\d+)*")
+SENTENCE = re.compile(r"(?:\A|[.!?:;\n])\W*(?=[^\W\d_])")
+
+
+def _listed(pattern: re.Pattern, last: int) -> re.Pattern:
+    """The same pattern with its letters up to last listed as ranges, which are matched faster than a negated class."""
+    ranges: list[list[int]] = []
+    for m in re.finditer(r"[^\W\d_]", "".join(map(chr, range(last + 1)))):
+        if ranges and ranges[-1][1] == m.start() - 1:
+            ranges[-1][1] = m.start()
+        else:
+            ranges.append([m.start(), m.start()])
+    return re.compile(pattern.pattern.replace(r"[^\W\d_]", "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]"))
+
+
+ASCII_TOKEN, NEAR_TOKEN = _listed(TOKEN, 0x7F), _listed(TOKEN, 0xFFFF)
+
+
+def tokens_of(text: str) -> list[str]:
+    """The matches of TOKEN."""
+    if text.isascii():
+        return ASCII_TOKEN.findall(text)
+    near = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)  # no character beyond 0xFFFF
+    return (NEAR_TOKEN if near else TOKEN).findall(text)
+
+
 UNITS = frozenset(
     "mg g kg t mm cm m km in ft yd mi ml l oz lb lbs percent cents dollars dollar euros euro pounds pound "
     "second seconds minute minutes hour hours day days week weeks month months year years miles mile meters "
@@ -87,10 +112,10 @@ class Templates:
 
     def codes(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Tokens, their codes, and which of them begin a sentence with a capital, so that they may be names."""
-        tokens, known = TOKEN.findall(SENTENCE.sub(rf"\1{MARK}\2", text.replace(MARK, "\1"))) if text else [], self.known
+        tokens, known = tokens_of(SENTENCE.sub(rf"\g<0>{MARK}", text.replace(MARK, "\1"))) if text else [], self.known
         if len(known) > WORDS_CACHED:
             known.clear()
-        codes = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        codes = np.array(operator.itemgetter(*tokens)(known) if tokens else (), dtype=np.uint64).reshape(len(tokens))
         initial = codes >= INITIAL
         codes &= np.uint64(INITIAL - 1)
         after = np.zeros(len(codes), dtype=bool)

@@ -43,10 +43,15 @@ def presence(text: str | None) -> np.ndarray:
             for n in range(1, max(NGRAMS) + 1):
                 if len(code) < n:
                     break
-                h = h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :] + np.uint64(n)
+                h = h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15)
+                h += code[n - 1 :]
+                h += np.uint64(n)
                 if n in NGRAMS:
-                    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    mark[(mixed >> np.uint64(49)).astype(np.int64)] = True
+                    mixed = h >> np.uint64(29)
+                    mixed ^= h
+                    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+                    mixed >>= np.uint64(49)
+                    mark[mixed.view(np.int64)] = True
     return np.flatnonzero(mark)
 
 

@@ -52,6 +52,14 @@ MASKS = _SEED.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 FACTORS = _SEED.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+class _Known(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles of n words.
 
@@ -59,7 +67,7 @@ class Shingler:
     carriage return. Fewer than n words make one shingle, none make the empty set."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n, self.known = n, _Known()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words, known = text.encode("utf-8", "surrogatepass").lower().split() if text else [], self.known
@@ -67,16 +75,14 @@ class Shingler:
             return np.zeros(0, dtype=np.uint64)
         if len(known) > WORDS_CACHED:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n if n < self.n else 0, dtype=np.uint64)
         for k in range(n):
             out = (out ^ h[k : len(h) - n + 1 + k]) * PRIME
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
