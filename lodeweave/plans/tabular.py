@@ -35,7 +35,7 @@ def group_mean_all(spark, d):
           SELECT lang, round(avg(dots), 6) AS dots, round(avg(digits), 6) AS digits FROM r GROUP BY lang""")
 def group_mean_ratios(spark, d):
     n = F.length("text")
-    share = lambda p: F.regexp_count("text", F.lit(p)) / n
+    share = lambda p: F.when(n > 0, F.regexp_count("text", F.lit(p)) / n).when(n == 0, float("nan"))  # noqa: E731  0 / 0 is NaN in SQL, an error here
     x = table(spark, d, "documents").select("lang", share("[.]").alias("dots"), share("[0-9]").alias("digits"))
     return x.groupBy("lang").agg(F.round(F.avg("dots"), 6).alias("dots"), F.round(F.avg("digits"), 6).alias("digits"))
 
