@@ -19,13 +19,28 @@ REFITS = 3
 
 
 def select_evidence(candidates: DataFrame, floor: float = 0.0, max_sources: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(kept, omitted with reason) of collapsed candidates: empty, below the floor, past the source limit; pinned first."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("final_score"), "chunk_id")
+    """(kept, omitted with reason) of collapsed candidates: empty, below the floor, past the source limit; pinned first.
+
+    Ranks are taken of keys alone, the best of each task before the shuffle; the last source kept of a query
+    (a row a query, broadcast) then parts the candidates where they are, so no task has all of a query's."""
+    order = [F.desc("pinned"), F.desc("final_score"), "chunk_id"]
     reason = F.when(F.trim("text") == "", "empty").when((F.lit(floor) > 0) & (F.col("final_score") < floor), "below_floor")
     tagged = candidates.withColumn("reason", reason)
-    usable = F.sum(F.col("reason").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    tagged = tagged.withColumn("reason", F.coalesce("reason", F.when(usable > max_sources, "max_sources")))
-    return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null")
+    if max_sources < 1:
+        return candidates.where("false"), tagged.withColumn("reason", F.coalesce("reason", F.lit("max_sources")))
+    usable, barred = tagged.where("reason is null").drop("reason"), tagged.where("reason is not null")
+    best = lambda rows: rows.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("__n") <= max_sources)
+    top = best(usable.select("query_id", "pinned", "final_score", "chunk_id")).groupBy("query_id", "pinned", "final_score", "chunk_id").agg(F.max("__n").alias("__n"), F.count("*").alias("__places"))
+    last = top.groupBy(F.col("query_id").alias("__q")).agg(F.max(F.struct("__n", "pinned", "final_score", "chunk_id", "__places")).alias("__last"))
+    placed = usable.join(F.broadcast(last), F.col("query_id").eqNullSafe(F.col("__q"))).drop("__q")
+    score, end = F.struct("pinned", "final_score"), F.struct("__last.pinned", "__last.final_score")  # structs order nulls too
+    key, end_key = F.struct("chunk_id"), F.struct("__last.chunk_id")
+    after, level = (score < end) | ((score == end) & (key > end_key)), (score == end) & (key == end_key)
+    kept = best(placed.where(~after).drop("__last")).drop("__n")
+    # of rows that repeat the last key as many stay as there were places
+    nth = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("chunk_id"))
+    past = placed.where(level).withColumn("__n", nth).where(F.col("__n") > F.col("__last.__places")).drop("__n").union(placed.where(after))
+    return kept, barred.unionByName(past.drop("__last").withColumn("reason", F.lit("max_sources")))
 
 
 def header(r, number: int, cut: int = 0, continues: int = 0, body: str = "", also: str = "") -> str:

@@ -1,5 +1,8 @@
 """Empty texts, ties and plans of queries that grow with their tables."""
 
+import re
+
+from lodeweave.operators import context
 from lodeweave.plans import catalog
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -15,3 +18,22 @@ def test_ratios_of_an_empty_text(spark, tmp_path):
     found = catalog.QUERIES["group_mean_ratios"](spark, documents(spark, tmp_path, ["a.1", "b.", None, "", "c"]))
     got = {r["lang"]: r for r in found.collect()}
     assert got["de"]["digits"] == round(1 / 6, 6) and got["en"]["dots"] != got["en"]["dots"]  # NaN, as 0 / 0 in SQL
+
+
+def test_evidence_moves_no_text_but_that_of_the_best(spark):
+    rows = [("q", f"c{i % 7}", i % 5 / 5, i % 11 == 0, " " if i % 6 == 0 else "x") for i in range(60)] + [("p", "c", None, None, "y"), (None, "d", 0.5, False, "z")]
+    x = spark.createDataFrame(rows, "query_id string, chunk_id string, final_score double, pinned boolean, text string")
+    for most in (0, 1, 4, 9, 100):
+        kept, omitted = context.select_evidence(x, 0.1, most)
+        want = []
+        for q in ("q", "p", None):
+            usable = [r for r in rows if r[0] == q and r[4].strip() and not (r[2] is not None and r[2] < 0.1)]
+            usable.sort(key=lambda r: (not r[3], -(r[2] or 0), r[1]))
+            want += [(q, r[1], r[2]) for r in usable[:most]]
+        key = lambda t: tuple(str(v) for v in t)
+        assert sorted([(r["query_id"], r["chunk_id"], r["final_score"]) for r in kept.collect()], key=key) == sorted(want, key=key)
+        reasons = omitted.groupBy("reason").count().collect()
+        assert sum(r["count"] for r in reasons) + len(want) == len(rows)
+    plan = context.select_evidence(x, 0.1, 4)[0]._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if re.search(r"\bWindow \[", line)]
+    assert len(windows) == 2 and "WindowGroupLimit" in plan
