@@ -65,7 +65,7 @@ def ann_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
     centres = ann.fit_centres(e, key="vec_id")
-    return ann.search(ann.build(e, centres), centres, asked, 10, probes=max(8, len(centres) // 2), key="vec_id", by=None, same=F.col("vec_id") == F.col("query_id"))
+    return ann.search(ann.build(e, centres), centres, asked, 10, probes=max(8, len(centres) // 2), key="vec_id", by=None, own=False)
 
 
 _VECTOR = """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE {1}),
