@@ -43,13 +43,14 @@ def clean_pages(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3) -> Dat
     return out.select("document_id", "page_number", text.alias("text"), F.greatest(F.lit(0), full(F.col("text")) - full(F.coalesce("body", F.lit("")))).alias("removed"))
 
 
-def blocks(documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """(key, page_number 0, block_index, text, section): paragraphs of inline text, headings carried forward."""
+def blocks(documents: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys..., page_number 0, block_index, text, section): paragraphs of inline text, headings carried forward. keys: document_id unless given."""
+    keys = keys or ("document_id",)
     parts = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda x: F.trim(x) != "")
-    rows = documents.select(key, F.posexplode(parts).alias("block_index", "text"))
+    rows = documents.select(*keys, F.posexplode(parts).alias("block_index", "text"))
     found = rows.withColumn("found", tx.section_label(F.substring_index(F.trim(F.col("text")), "\n", 1)))
-    carried = F.last("found", ignorenulls=True).over(Window.partitionBy(key).orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0))
-    return found.select(key, F.lit(0).alias("page_number"), "block_index", F.trim("text").alias("text"), carried.alias("section"))
+    carried = F.last("found", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0))
+    return found.select(*keys, F.lit(0).alias("page_number"), "block_index", F.trim("text").alias("text"), carried.alias("section"))
 
 
 def renumbered(blocks: DataFrame, key: str = "document_id", order: str = "block_index", text: str = "text") -> DataFrame:

@@ -218,8 +218,7 @@ def collapsed_pool(spark, d):
 
 
 def _chunked(spark, d):
-    docs = spread(table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), "text"))
-    return chunking.chunk(chunking.document_blocks(docs))
+    return chunking.chunk_documents(table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
 @query()

@@ -265,6 +265,6 @@ def index_documents(store: ChunkStore, tenant: str, docs: DataFrame, sizes=None)
     fresh = changed(docs, old) if old is not None and "digest" in old.columns else docs
     n, total = fresh.count(), docs.count()
     if n:
-        made = chunking.chunk(chunking.document_blocks(fresh), sizes or chunking.Sizes())
+        made = chunking.chunk_documents(fresh, sizes or chunking.Sizes())
         store.replace_documents(tenant, fresh, made.join(fresh.select("tenant_id", "document_id", "digest"), ["tenant_id", "document_id"]))
     return {"indexed": n, "unchanged": total - n, "version": store.version(tenant)}

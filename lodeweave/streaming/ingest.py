@@ -29,7 +29,7 @@ def run_ingest(stream: DataFrame, store: ChunkStore, checkpoint: str, sizes: chu
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch = batch.persist()
-        made = chunking.chunk(chunking.document_blocks(batch), sizes).join(batch.select("tenant_id", "document_id", "digest"), ["tenant_id", "document_id"]).persist()  # once, however many tenants
+        made = chunking.chunk_documents(batch, sizes).join(batch.select("tenant_id", "document_id", "digest"), ["tenant_id", "document_id"]).persist()  # once, however many tenants
         for tenant in [r["tenant_id"] for r in batch.select("tenant_id").distinct().collect()]:  # a batch's tenants
             own = F.col("tenant_id") == tenant
             store.replace_documents(tenant, batch.where(own), made.where(own))
