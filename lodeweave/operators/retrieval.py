@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.functions import kernels
 from lodeweave.functions import text as tx
 from lodeweave.functions.vectors import SIMILARITIES
 from lodeweave.operators.tabular import scale_to_max
@@ -45,14 +46,19 @@ def _body(section: str | None, text: str) -> Column:
     return F.concat_ws("\n", section, text) if section else F.col(text)
 
 
-def postings(chunks: DataFrame, section: str | None = None, text: str = "text", asked: DataFrame | None = None) -> DataFrame:
-    """(tenant_id, chunk_id, term, tf, length): the index, one pass and one shuffle by (chunk, term).
+def postings(chunks: DataFrame, section: str | None = None, text: str = "text", asked: DataFrame | None = None, ranged: bool = False) -> DataFrame:
+    """(tenant_id, chunk_id, term, tf, length): the index, counted row by row and then by (chunk, term).
 
-    With asked, queries with terms, only their postings are counted and moved."""
-    rows = tx.term_rows(chunks, _body(section, text), ["tenant_id", "chunk_id"], "length")
+    With asked, a batch of queries with terms (broadcast), only their postings are moved; ranged deals all by ranges of
+    tenant and term, in the one shuffle there is."""
+    rows = kernels.counted_terms(chunks, _body(section, text), ["tenant_id", "chunk_id"])
     if asked is not None:
-        rows = rows.join(asked_terms(asked).select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
-    return rows.groupBy("tenant_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        rows = rows.join(F.broadcast(asked_terms(asked).select("tenant_id", "term").distinct()), ["tenant_id", "term"], "left_semi")
+    if ranged:  # sorted once, no table of all rows
+        w = Window.partitionBy("tenant_id", "term", "chunk_id").orderBy("chunk_id")
+        merged = rows.repartitionByRange("tenant_id", "term").withColumns({"__n": F.row_number().over(w), "tf": F.sum("tf").over(Window.partitionBy("tenant_id", "term", "chunk_id"))})
+        return merged.where("__n = 1").select("tenant_id", "chunk_id", "term", "tf", "length")
+    return rows.groupBy("tenant_id", "chunk_id", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, section: str | None = None, text: str = "text") -> DataFrame:
     """(tenant_id, docs, mean_length) over all chunks, those without terms included."""
-    return chunks.groupBy("tenant_id").agg(F.count("*").alias("docs"), F.avg(F.size(tx.tokens(_body(section, text)))).alias("mean_length"))
+    return chunks.select("tenant_id", kernels.term_length(_body(section, text)).alias("length")).groupBy("tenant_id").agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -72,12 +78,14 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1,
     """(query_id, tenant_id, chunk_id, score > 0). Query terms are distinct and reach the postings before any counting."""
     asked = asked_terms(queries)
     wanted = index.join(asked.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
-    df = wanted.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
+    df = wanted.groupBy("tenant_id", "term").agg(F.expr("count(tf, length)").alias("df"))  # all columns, so that both sides read one shuffle
     weighed = wanted.join(df, ["tenant_id", "term"]).join(stats, "tenant_id")
     tf = F.col("tf")
     part = idf(F.col("docs"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     parts = weighed.select("tenant_id", "term", "chunk_id", part.alias("part"))
-    return asked.join(parts, ["tenant_id", "term"]).groupBy("query_id", "tenant_id", "chunk_id").agg(F.sum("part").alias("score")).where("score > 0")
+    found = asked.join(parts, ["tenant_id", "term"]).groupBy("query_id", "tenant_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("p"))  # a query's terms
+    # added in the order of the terms, so that equal texts score equal to the last bit and tie
+    return found.select("query_id", "tenant_id", "chunk_id", F.aggregate("p", F.lit(0.0), lambda a, x: a + x["part"]).alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "chunk_id") -> DataFrame:

@@ -213,7 +213,7 @@ def open_store(spark: SparkSession, root: str, backend: str = "parquet") -> Chun
 
 def write_index(chunks: DataFrame, path: str, section: str | None = None) -> None:
     """Postings of chunks, range-partitioned and sorted by tenant and term, and the statistics of each tenant."""
-    retrieval.postings(chunks, section).repartitionByRange("tenant_id", "term").sortWithinPartitions("tenant_id", "term").write.parquet(f"{path}/postings")
+    retrieval.postings(chunks, section, ranged=True).sortWithinPartitions("tenant_id", "term").write.parquet(f"{path}/postings")
     retrieval.corpus_stats(chunks, section).write.parquet(f"{path}/statistics")
 
 
