@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -29,26 +30,28 @@ def vocabulary_counter(spark: SparkSession, path: str, pattern: str | None = Non
     @F.pandas_udf("int")
     def count(batches: pd.Series) -> pd.Series:
         encode = _loaded.get(path) or _loaded.setdefault(path, _encoder(shared.value, pattern if ranked else None))
-        return pd.Series([len(ids) for ids in encode([t or "" for t in batches])], dtype="int32")
+        return pd.Series([len(ids) for ids in encode(t or "" for t in batches)], dtype="int32")
 
     return count
 
 
 _loaded: dict[str, Callable] = {}  # one encoder a worker and file
+TEXTS = 64  # encoded at once where the library takes many
 
 
-def _encoder(data: bytes, pattern: str | None) -> Callable[[list[str]], list]:
+def _encoder(data: bytes, pattern: str | None) -> Callable[[Iterable[str]], Iterator]:
+    """Ids text by text: those of a batch are many times its size."""
     if pattern:
         import tiktoken
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [own.encode_ordinary(t) for t in texts]
+        return lambda texts: map(own.encode_ordinary, texts)
     from tokenizers import Tokenizer
 
     read = Tokenizer.from_str(data.decode())
     read.encode_special_tokens = True
-    return lambda texts: [e.ids for e in read.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: (e.ids for some in batched(texts, TEXTS) for e in read.encode_batch(list(some), add_special_tokens=False))
 
 
 def counter(spark: SparkSession, name: str = "heuristic", path: str | None = None, pattern: str | None = None) -> Callable[[Column], Column]:
