@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import counters, kernels, segments
 from lodeweave.functions import text as tx
-from lodeweave.operators import ann, chunking, context, retrieval
+from lodeweave.operators import ann, chunking, context, ml, retrieval
 from lodeweave.plans import catalog
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -135,3 +135,8 @@ def test_block_search_finds_the_rows_of_the_join(spark):
         rows = lambda df: sorted((r["query_id"], r["rank"], r["k"], round(r["score"], 9)) for r in df.collect())
         assert rows(fast) == rows(slow)
         assert "Join" not in fast._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trees_read_parts_of_bounded_size(spark):
+    x = spark.range(1_000_001).coalesce(1)
+    assert ml.in_parts(x, "boosted").rdd.getNumPartitions() == 6 and ml.in_parts(x, "linear").rdd.getNumPartitions() == 1
