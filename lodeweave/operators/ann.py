@@ -53,7 +53,7 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, vector: str, probes: int,
     def near(batch: pd.Series) -> pd.Series:
         c = shared.value
         fit = [v is not None and len(v) == c.shape[1] and c.shape[1] > 0 for v in batch]
-        x = np.array([np.asarray(v, dtype=np.float64) for v, ok in zip(batch, fit, strict=True) if ok]).reshape(-1, c.shape[1])
+        x = np.array([np.asarray(v, dtype=np.float64) for v, ok in zip(batch, fit, strict=True) if ok]).reshape(sum(fit), c.shape[1])
         x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
         if metric == "cosine":
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
